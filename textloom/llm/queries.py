@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 from textloom.llm.media import media_digest
+from textloom.llm.quality import quality_scores
+from textloom.llm.simhash import simhash_groups
 from textloom.llm.token_output import encode_documents
+from textloom.llm.toxicity import toxicity_scores
 from textloom.shared import table
 
 
+def op2_quality_ranking(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity_grammar(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_simhash_groups(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark, sf_dir):
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -15,5 +30,5 @@ def op8_token_ids(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_media_columns, op8_token_ids)}
+QUERIES = {f.__name__: f for f in (op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op6_media_columns, op8_token_ids)}
 ORACLE_SQL: dict[str, str] = {}

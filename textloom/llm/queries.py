@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from textloom.llm.decontaminate import contaminated
 from textloom.llm.media import media_digest
+from textloom.llm.mixing import mixing_weights
 from textloom.llm.quality import quality_scores
+from textloom.llm.secrets import find_secrets
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.token_output import encode_documents
 from textloom.llm.toxicity import toxicity_scores
 from textloom.shared import table
 
 
+def op1_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_ranking(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +29,10 @@ def op4_simhash_groups(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_links(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark, sf_dir):
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -30,5 +41,9 @@ def op8_token_ids(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op6_media_columns, op8_token_ids)}
+def op10_mixing(spark, sf_dir):
+    return mixing_weights(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op8_token_ids, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ from textloom.llm.mixing import mixing_weights
 from textloom.llm.quality import quality_scores
 from textloom.llm.secrets import find_secrets
 from textloom.llm.simhash import simhash_groups
+from textloom.llm.suffixes import remove_repeats
 from textloom.llm.token_output import encode_documents
 from textloom.llm.toxicity import toxicity_scores
 from textloom.shared import table
@@ -41,9 +42,13 @@ def op8_token_ids(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing_weights(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op8_token_ids, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op8_token_ids, op9_suffix_dedup, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from textloom.llm.decontaminate import contaminated
 from textloom.llm.media import media_digest
 from textloom.llm.mixing import mixing_weights
+from textloom.llm.passages import repeated_passages
 from textloom.llm.quality import quality_scores
 from textloom.llm.secrets import find_secrets
 from textloom.llm.simhash import simhash_groups
@@ -38,6 +40,10 @@ def op6_media_columns(spark, sf_dir):
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_token_ids(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -50,5 +56,5 @@ def op10_mixing(spark, sf_dir):
     return mixing_weights(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op8_token_ids, op9_suffix_dedup, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op7_repeated_passages, op8_token_ids, op9_suffix_dedup, op10_mixing)} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -5,6 +5,8 @@ with the documents it holds. Offsets come from the segments' counts, summed with
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -21,7 +23,9 @@ from textloom.shared import shared_path
 
 END_ID = 2
 SEGMENT_IDS = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_STEMS = 600_000, 1_000_000
+MARKS = ".,!?;:"
+LETTERS = "\u0250"  # beyond the letters that all Unicode versions agree on
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 TOKENS = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"
 
@@ -33,7 +37,8 @@ def tokenizer_path() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts for a tokenizer whose pieces never reach over white space: each word is encoded once and kept.
+    """Ids of whole texts for a tokenizer that lower-cases and whose pieces never reach over white space: each word is
+    encoded once and kept, and a word of letters with marks after it is put together from the two.
 
     Texts with what the tokenizer may see across words (its special tokens, control characters that only Python takes
     for white space) go through the tokenizer as they are."""
@@ -42,29 +47,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _alone(self, words: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        """Words of letters alone: each ends at the one id that closes a word, so many are encoded as one text."""
+        for i in range(0, len(stems), 2000):
+            part = stems[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) == len(part):
+                raw, bounds = ids.tobytes(), (4 * np.r_[0, end]).tolist()
+                self.stems.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:], strict=False))
+            else:
+                self.stems.update(zip(part, self._alone(part), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
+        new = words.difference(self.words)
+        cut = {w: w.rstrip(MARKS) for w in new}
+        plain = {w: s for w, s in cut.items() if s.isalpha() and max(s) < LETTERS}
+        self._learn_stems([s for s in set(plain.values()) if s not in self.stems])
+        rest = [*(new.difference(plain)), *{w[len(s) :] for w, s in plain.items() if len(s) < len(w)}.difference(self.words)]
+        for i in range(0, len(rest), 10_000):
+            self.words.update(zip(rest[i : i + 10_000], self._alone(rest[i : i + 10_000]), strict=True))
+        self.words.update((w, self.stems[s] + (self.words[w[len(s) :]] if len(s) < len(w) else b"")) for w, s in plain.items())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
-        new = list(set(chain.from_iterable(w for w in split if w is not None)).difference(self.kept))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            self.kept.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        get = self.kept.__getitem__
+        split = [None if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else (t if "\u03a3" in t else t.lower()).split() for t in texts]
+        self._learn(set(chain.from_iterable(w for w in split if w is not None)))
+        get = self.words.__getitem__
         return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w is None else np.fromiter(chain.from_iterable(map(get, w)), np.uint32)
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if w is None else np.frombuffer(b"".join(map(get, w)), "<u4")
             for t, w in zip(texts, split, strict=True)
         ]
 
 
+def kept_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which later tasks find with the words it knows."""
+    state = sys.modules.setdefault("textloom_worker_state", types.ModuleType("textloom_worker_state"))
+    if path not in state.__dict__:
+        state.__dict__[path] = WordEncoder(path)
+    return state.__dict__[path]
+
+
 def _pack(path: str, end_id: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seq = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = kept_encoder(path), TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[np.ndarray] = []
         total = 0
@@ -77,7 +119,7 @@ def _pack(path: str, end_id: int, limit: int):
         for piece in pieces(batches):
             for doc_id, ids in zip(piece["doc_id"], encoder(piece["text"]), strict=True):
                 docs.append(doc_id)
-                held.append(np.append(ids, np.uint32(end_id)))
+                held.append(np.append(ids, np.array([end_id], "<u4")))
                 total += len(held[-1])
                 if total >= limit:
                     yield segment()

@@ -1,4 +1,501 @@
-"""Named queries over the driver's tables, with the SQL each should agree with."""
+"""Named queries over the driver's tables, with the SQL each should agree with.
+
+Word lists of the queries are of words that these tables hold; the operators' own defaults are those of admission texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import links as L
+from textloom.functions import queries as Q
+from textloom.functions import text as T
+from textloom.functions.fuzzy import intent, nearest_program
+from textloom.functions.html import html_to_text, unescape
+from textloom.functions.ocr import markdown_rows, merged_cells, token_rows
+from textloom.functions.tables import row_records, tables_to_text
+from textloom.operators import corpus, crawl, records, retrieve, sessions
+from textloom.shared import shared_path, table
+from textloom.streaming.sessions import histories
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+TAGS = [("article", ["the ", "der ", "les "]), ("contact", ["@", "phone"]), ("law", ["license", "rights"]), ("und", [" und "])]
+SHORT = [("of", "of (owner)"), ("the", "the (article)")]
+CONTEXT = ["tion", "ung"]
+MARKERS = ["License", "rights reserved"]
+JUNK = ["released under the mit license.", "the."]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _vector(spark, sf_dir, vec_id: int) -> list[float]:
+    return [float(x) for x in table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding]
+
+
+_SCORE = "(1 + list_cosine_similarity(e.embedding::double[], q.embedding::double[])) / 2"
+_NEAREST = f"select e.vec_id, e.label, {_SCORE} as s from embeddings e, (select embedding from embeddings where vec_id = 0) q"
+
+
+@query(f"select vec_id, label, round(s, 6) as score from ({_NEAREST}) order by s desc, vec_id limit 10")
+def vector_topk(spark, sf_dir):
+    top = retrieve.vector_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), "vec_id", limit=10, threshold=None)
+    return top.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"select vec_id, label, round(s, 6) as score from ({_NEAREST}) where label in (1, 3) order by s desc, vec_id limit 10")
+def vector_topk_filtered(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 3))
+    return retrieve.vector_search(rows, _vector(spark, sf_dir, 0), "vec_id", limit=10, threshold=None).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(f"select vec_id, label, round(s, 6) as score from (select * from ({_NEAREST}) order by s desc, vec_id limit 200) where s >= 0.55")
+def vector_threshold(spark, sf_dir):
+    top = retrieve.vector_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 0), "vec_id", limit=200)
+    return top.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("select nullif(source, '') as school, count(*) as n from documents group by all")
+def doc_stats(spark, sf_dir):
+    return records.stats(table(spark, sf_dir, "documents"), "source")
+
+
+@query("select count(*) as total, count(distinct nullif(source, '')) as schools from documents")
+def doc_totals(spark, sf_dir):
+    return records.totals(table(spark, sf_dir, "documents"), "source")
+
+
+@query("select doc_id, lang, source from documents order by doc_id desc limit 20 offset 40")
+def doc_page(spark, sf_dir):
+    return records.page(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", 3)
+
+
+@query("select count(*) as total, ((count(*) + 19) // 20)::bigint as pages from documents")
+def doc_page_count(spark, sf_dir):
+    return records.page_count(table(spark, sf_dir, "documents"))
+
+
+@query("select doc_id from documents where regexp_matches(text, '(?i)mit license') or regexp_matches(source, '(?i)^src1$')")
+def doc_search(spark, sf_dir):
+    return records.search(table(spark, sf_dir, "documents"), "mit license", ["text"]).select("doc_id").union(
+        records.search(table(spark, sf_dir, "documents"), "^src1$", ["source"]).select("doc_id")
+    ).distinct()
+
+
+@query("select doc_id, case when doc_id = 7 then 'changed' else text end as text, source from documents where doc_id <> 9")
+def doc_edits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), "source")
+    edited = records.update(docs, "doc_id", 7, {"content": "changed", "year": 2024, "school": None})
+    return records.delete(edited, "doc_id", 9).select("doc_id", F.col("content").alias("text"), "source")
+
+
+_HASH = r"md5(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+
+
+@query(f"select doc_id, {_HASH} as hash from documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("hash"))
+
+
+def _deduped(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
+    return corpus.dedup_by_content(docs, "text", "file", [F.col("doc_id")])
+
+
+_DEDUP = f"select doc_id, case when doc_id = min(doc_id) over (partition by {_HASH}) then 'ok' else 'dup' end as status from documents"
+
+
+@query(_DEDUP)
+def dedup_documents(spark, sf_dir):
+    return _deduped(spark, sf_dir).select("doc_id", "status")
+
+
+@query(f"select status, count(*) as n from ({_DEDUP}) group by all")
+def dedup_status_counts(spark, sf_dir):
+    return corpus.status_counts(_deduped(spark, sf_dir))
+
+
+_LINES = "case when text = '' then []::varchar[] when text[-1] = chr(10) then string_split(text, chr(10))[:-2] else string_split(text, chr(10)) end"
+
+
+@query(f"select doc_id, trim(array_to_string(list_filter({_LINES}, lambda x: trim(x) <> ''), chr(10))) as text from documents")
+def strip_blank_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_blank_lines("text").alias("text"))
+
+
+@query(f"select doc_id, array_to_string(list_filter({_LINES}, lambda x: lower(trim(regexp_replace(trim(x), '^[*+-]\\s*', ''))) not in ('released under the mit license.', 'the.')), '|') as text from documents")
+def junk_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.drop_junk_lines(T.split_lines("text"), JUNK), "|").alias("text"))
+
+
+_CUT = f"""with l as (select doc_id, {_LINES} as ls from documents),
+c as (select doc_id, ls, list_min(list_filter(range(1, len(ls) + 1), lambda i: i > floor(len(ls) * 0.7) and (contains(ls[i], 'License') or contains(ls[i], 'rights reserved')))) as cut from l)
+select doc_id, array_to_string(case when cut is null then ls else ls[1:cut - 1] end, '|') as text from c"""
+
+
+@query(_CUT)
+def footer_cut(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.cut_footer(T.split_lines("text"), MARKERS), "|").alias("text"))
+
+
+@query()
+def nav_block(spark, sf_dir):
+    menu = F.concat(F.lit("* [a](b)\n* c\n\n+ d\n- e\n* f\n"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.drop_nav_block(T.split_lines(menu)), "\n").alias("text"))
+
+
+@query()
+def clean_content(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_content("text", MARKERS, JUNK).alias("text"))
+
+
+_CLEAN = r"""select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(160), ' '), '<[\p{L}\p{N}_][^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from pages"""
+
+
+@query(_CLEAN)
+def clean_markup(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_markup("html").alias("text"))
+
+
+@query()
+def clean_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_markup(unescape("html")).alias("text"))
+
+
+_TAGGED = "list_filter([case when contains(lower(text), 'the ') or contains(lower(text), 'der ') or contains(lower(text), 'les ') then 'article' end, case when contains(lower(text), '@') or contains(lower(text), 'phone') then 'contact' end, case when contains(lower(text), 'license') or contains(lower(text), 'rights') then 'law' end, case when contains(lower(text), ' und ') then 'und' end], lambda x: x is not null)"
+
+
+@query(f"select doc_id, array_to_string(list_sort({_TAGGED}), ',') as tags from documents")
+def detect_tags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.detect_tags("text", TAGS), ",").alias("tags"))
+
+
+@query("select doc_id, case when 2010 + doc_id % 30 between 2015 and 2030 then greatest(2010 + doc_id % 30, 2020) else 2020 end::int as year from documents")
+def detect_year(spark, sf_dir):
+    dated = F.concat("text", F.lit(" 2020 "), (2010 + F.col("doc_id") % 30).cast("string"), F.lit(". 20199 1999"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.detect_year(dated).alias("year"))
+
+
+_PLAIN = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
+_EXPAND = rf"""with a as (select doc_id, {_PLAIN} as t from documents),
+b as (select doc_id, t, case when regexp_matches(t, '(?i)\bof\b') and not contains(t, 'of (owner)') then regexp_replace(t, '(?i)\bof\b', 'of (owner)') else t end as u from a),
+c as (select doc_id, t, case when regexp_matches(u, '(?i)\bthe\b') and not contains(u, 'the (article)') then regexp_replace(u, '(?i)\bthe\b', 'the (article)') else u end as v from b)
+select doc_id, case when contains(lower(t), 'tion') or contains(lower(t), 'ung') then v else t end as text from c"""
+
+
+@query(_EXPAND)
+def expand_acronyms(spark, sf_dir):
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    return table(spark, sf_dir, "documents").withColumn("t", plain).select("doc_id", T.expand_acronyms("t", SHORT, CONTEXT).alias("text"))
+
+
+@query("select doc_id, 'http://' || source || '/' || doc_id as url, 'T ' || doc_id as title, trim(text, ' ' || chr(10)) as content from documents")
+def meta_header(spark, sf_dir):
+    raw = F.concat(F.lit("[T "), "doc_id", F.lit("]\n[URL: http://"), "source", F.lit("/"), "doc_id", F.lit("]\n\n"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.meta_header(raw).alias("m")).select("doc_id", "m.url", "m.title", "m.content")
+
+
+@query("select doc_id, case when doc_id % 2 = 0 then source else 'unknown' end as school from documents")
+def school_of_file(spark, sf_dir):
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("_page_1.md"))).otherwise(F.lit("plain.txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.school_of_file(name).alias("school"))
+
+
+_CHUNKS = f"""with recursive l as (select doc_id, {_LINES} as ls from documents),
+s as (select doc_id, ls, 0 as i, []::varchar[] as buf, 0::bigint as total, 0::bigint as old, []::varchar[] as done from l
+union all
+select doc_id, ls, i + 1, case when full_ then list_slice(nb, len(nb) - k + 1, len(nb)) else nb end, case when full_ then list_sum(list_transform(list_slice(nb, len(nb) - k + 1, len(nb)), lambda x: length(x)))::bigint else nt end, case when full_ then k else old end, case when full_ then list_append(done, array_to_string(nb, chr(10))) else done end
+from (select *, nt >= 800 as full_, list_min(list_filter(range(1, len(nb) + 1), lambda k: list_sum(list_transform(list_slice(nb, len(nb) - k + 1, len(nb)), lambda x: length(x))) >= 400)) as k
+from (select *, list_append(buf, ls[i + 1]) as nb, total + length(ls[i + 1]) as nt from s where i < len(ls)))),
+e as (select *, len(buf) > old as fresh, array_to_string(buf, chr(10)) as rest from s where i = len(ls)),
+f as (select doc_id, case when not fresh then done when total <= 400 and len(done) > 0 then list_append(done[:-2], done[-1] || chr(10) || rest) else list_append(done, rest) end as c from e)"""
+
+
+@query(_CHUNKS + " select doc_id, unnest(range(1, len(c) + 1))::int as chunk_id, len(c)::int as total_chunks, unnest(c) as content from f")
+def chunk_documents(spark, sf_dir):
+    return corpus.chunk_rows(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+@query(_CHUNKS + " select source, sum(len(c))::bigint as chunks, count(*) as docs from f join documents using (doc_id) group by all")
+def chunk_counts(spark, sf_dir):
+    cut = table(spark, sf_dir, "documents").select("source", F.size(T.chunks("text")).alias("n"))
+    return cut.groupBy("source").agg(F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'Năm: 2024' || chr(10) else '' end || trim(text, ' ' || chr(10)) as text from documents")
+def embedding_text(spark, sf_dir):
+    year = F.when(F.col("doc_id") % 3 == 0, 2024)
+    return table(spark, sf_dir, "documents").withColumn("year", year).select("doc_id", T.embedding_text("year", "text").alias("text"))
+
+
+@query("select count(*) as backlog from documents left join labels using (doc_id) where quality is null")
+def embed_backlog(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("embedding"))
+    return corpus.backlog(table(spark, sf_dir, "documents").join(labels, "doc_id", "left")).agg(F.count(F.lit(1)).alias("backlog"))
+
+
+@query("select doc_id, 0.8::double as score, true as is_text_match from documents where regexp_matches(text, '(?i)thing') order by doc_id limit 5")
+def text_search(spark, sf_dir):
+    return retrieve.text_search(table(spark, sf_dir, "documents"), "thing", "doc_id", "text").select("doc_id", "score", "is_text_match")
+
+
+def _ranked(spark, sf_dir, *order):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit(1.0).alias("score"))
+    top = docs.withColumn("k", F.struct(*order)).orderBy("k", "doc_id").limit(10)
+    return top.withColumn("rank", F.row_number().over(sessions.Window.orderBy("k", "doc_id")) - 1).drop("k")
+
+
+def _fused(spark, sf_dir):
+    lists = [_ranked(spark, sf_dir, F.md5("content")), _ranked(spark, sf_dir, -F.length("content"))]
+    return retrieve.fuse(_ranked(spark, sf_dir, F.col("doc_id")), lists)
+
+
+_FUSED = """with p as (select doc_id, text, row_number() over (order by doc_id) - 1 as r, 0 as tier, 0 as l from documents qualify r < 5),
+a as (select doc_id, text, row_number() over (order by md5(text), doc_id) - 1 as r, 1 as tier, 0 as l from documents qualify r < 10),
+b as (select doc_id, text, row_number() over (order by length(text) desc, doc_id) - 1 as r, 1 as tier, 1 as l from documents qualify r < 10),
+u as (select * from p union all select * from a union all select * from b),
+f as (select *, row_number() over (partition by substr(text, 1, 200) order by tier, r, l) as n from u),
+g as (select doc_id, text, (row_number() over (order by tier, r, l))::int as pos from f where n = 1 qualify pos <= 10)"""
+
+
+@query(_FUSED + " select doc_id, pos from g")
+def fuse_results(spark, sf_dir):
+    return _fused(spark, sf_dir).select("doc_id", "pos")
+
+
+@query(_FUSED + ", h as (select *, [5, 1, 3, 2, 4, 5, 1, 2, 3, 1][pos] as s from g) select doc_id, s::int as rerank_score from h where s >= 3")
+def rerank_filter(spark, sf_dir):
+    return retrieve.rerank_reply(_fused(spark, sf_dir), "Scores: 5,1,3,2,4,5,1,2,3,1").select("doc_id", "rerank_score")
+
+
+@query(_FUSED + " select doc_id, substr(text, 1, 200) as content, round(1.0::double, 4) as score from g")
+def sources_payload(spark, sf_dir):
+    return retrieve.sources(_fused(spark, sf_dir)).select("doc_id", "content", "score")
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then '2023' when 1 then '2024' else '' end as doc_year, case when doc_id % 4 = 2 then 'Thông tin chung' else 'Học phí' end as doc_type,
+case doc_id % 4 when 0 then '[Thời gian: 2023] ' when 1 then '[Thời gian: 2024] ' else '' end || '[Loại: ' || case when doc_id % 4 = 2 then 'Thông tin chung' else 'Học phí' end || '] [Nội dung: ' || text || ']' as enriched from documents""")
+def enrich_recency(spark, sf_dir):
+    part = F.col("doc_id") % 4
+    tags = F.when(part == 0, F.array(F.lit("hoc_phi"), F.lit("2022"))).when(part == 1, F.array(F.lit("2024"), F.lit("hoc_phi"))).when(part == 2, F.array(F.lit("x"))).otherwise(F.array(F.lit("hoc_phi")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), tags.alias("tags"), F.when(part == 0, "2023-05-01").alias("source_date"))
+    return retrieve.enrich(docs, "doc_id").select("doc_id", "doc_year", "doc_type", "enriched")
+
+
+@query()
+def question_boost(spark, sf_dir):
+    docs = _fused(spark, sf_dir).withColumn("questions", F.array(F.substring("content", 1, 40)))
+    return retrieve.boost_by_questions(docs, "the anhaat edonor").select("doc_id", "pos", "boosted")
+
+
+@query()
+def retrieve_fused(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumns({"content": F.col("vec_id").cast("string"), "school": F.lit("s/"), "tags": F.array(F.lit("t"))})
+    return retrieve.retrieve(rows, _vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1), "vec_id", "s", ["t"], program="^1").select("vec_id", "pos", F.round("score", 6).alias("score"), "is_text_match")
+
+
+@query("select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 5")
+def history_last5(spark, sf_dir):
+    return sessions.last_messages(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@query("select conv_id, turn, array_to_string(list(text) over (partition by conv_id order by turn rows between 4 preceding and current row), '|') as history from conversations")
+def history_running(spark, sf_dir):
+    return sessions.running_history(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.array_join("history", "|").alias("history"))
+
+
+@query("""with g as (select *, case when ts >= lag(ts) over w + interval 3600 seconds then 1 else 0 end as cut from events window w as (partition by user_id order by ts)),
+s as (select *, sum(cut) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select user_id, min(ts) as session_start, max(ts) as session_end, count(*) as n from s group by user_id, k""")
+def session_ttl(spark, sf_dir):
+    return sessions.idle_sessions(table(spark, sf_dir, "events"), "user_id", "ts")
+
+
+@query("select conv_id, turn, last_value(case when contains(text, 'tion') then text[1:10] end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as sticky from conversations")
+def sticky_entity(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("found", F.when(F.contains("text", F.lit("tion")), F.substring("text", 1, 10)))
+    return sessions.sticky(rows, "conv_id", "turn", "found").select("conv_id", "turn", "sticky")
+
+
+@query("select user_id, event_type, arg_max(value, ts) as value from events group by all")
+def merged_entities(spark, sf_dir):
+    return sessions.merged_entities(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "ts")
+
+
+@query("select conv_id, count(*) as messages, count(distinct role) as roles from conversations group by all")
+def session_summary(spark, sf_dir):
+    return sessions.summary(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+_PATH = r"regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
+_NORMAL = rf"regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || case when regexp_replace({_PATH}, '/+$', '') = '' then '/' else regexp_replace({_PATH}, '/+$', '') end"
+
+
+@query(f"select page_id, {_NORMAL} as url from pages")
+def url_norm(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", L.normal_url("url").alias("url"))
+
+
+@query(f"select page_id, 'src_' || case when regexp_replace({_PATH}, '^/+|/+$', '', 'g') = '' then 'trangchu' else substr(regexp_replace(replace(regexp_replace({_PATH}, '^/+|/+$', '', 'g'), '/', '_'), '[^\\w-]', '_', 'g'), 1, 60) end || '.md' as name from pages")
+def url_filename(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", L.file_name(F.lit("src"), "url").alias("name"))
+
+
+@query(f"select page_id from pages where {_PATH} = '/en' or starts_with({_PATH}, '/en/')")
+def under_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(L.is_under("url", "/en/")).select("page_id")
+
+
+@query(f"select page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as domain, {_PATH} as path, regexp_extract({_PATH}, '[^/]*$') as filename, 'html' as type from pages")
+def media_metadata(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", L.media_metadata("url").alias("m")).select("page_id", "m.domain", "m.path", "m.filename", "m.type")
+
+
+@query("select page_id, case page_id % 4 when 0 then 'pdf' when 1 then 'image' when 2 then 'asset' else 'html' end as type from pages")
+def content_type(spark, sf_dir):
+    ext = F.get(F.array(*[F.lit(x) for x in (".PDF", ".jpeg", ".css", "")]), (F.col("page_id") % 4).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", L.content_type(F.concat(F.lit("http://h/a.b/c"), ext, F.lit("?q=.mp4#f"))).alias("type"))
+
+
+@query("select page_id, contains(lower(substr(html, 1, 3000)), 'nicht') or contains(lower(substr(html, 1, 3000)), 'page not found') as missing from pages")
+def soft404(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", L.is_soft_404("html", ["nicht", "page not found"]).alias("missing"))
+
+
+@query("select page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) as title from pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", L.html_title("html").alias("title"))
+
+
+_HREFS = """list_filter(list_transform(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1, 'is'), lambda h: trim(h)), lambda h: h <> '' and not starts_with(h, '#') and not regexp_matches(h, '^(javascript|mailto):', 'i'))"""
+
+
+@query(f"select page_id, unnest({_HREFS}) as href from pages")
+def page_hrefs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(L.hrefs("html")).alias("href"))
+
+
+@query(rf"""with h as (select distinct page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') as head, href from (select page_id, url, unnest({_HREFS}) as href from pages)),
+n as (select distinct page_id, head || case when regexp_replace(regexp_extract(href, '^[^?#]*'), '/+$', '') = '' then '/' else regexp_replace(regexp_extract(href, '^[^?#]*'), '/+$', '') end as link from h where starts_with(href, '/') and not starts_with(href, '//'))
+select page_id, count(*) as links from n group by all""")
+def page_links(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(L.page_links("url", "html")).alias("link"))
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query()
+def file_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(L.file_links("url", "html", [".html", ".pdf"])).alias("link"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html_to_text("html", "url").alias("t")).select("page_id", "t.title", "t.text")
+
+
+@query("select conv_id, turn, translate(lower(trim(text, ' ' || chr(10))), 'àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ', 'aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd') as text from conversations")
+def accent_fold(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.fold_accents("text").alias("text"))
+
+
+@query()
+def squash_repeats(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.squash("text").alias("text"))
+
+
+_QTAGS = "list_filter([case when contains(lower(text), 'the ') or contains(lower(text), 'der ') or contains(lower(text), 'les ') then 'article' end, case when contains(lower(text), '@') or contains(lower(text), 'phone') then 'contact' end, case when contains(lower(text), 'license') or contains(lower(text), 'rights') then 'law' end, case when contains(lower(text), ' und ') then 'und' end], lambda x: x is not null)"
+
+
+@query(f"select conv_id, turn, array_to_string({_QTAGS}, ',') as tags from conversations")
+def query_tags(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(Q.query_tags("text", TAGS), ",").alias("tags"))
+
+
+@query("select conv_id, turn, case when turn % 2 = 0 then 2000 + (conv_id % 90)::int + 10 end as year, case when turn % 2 = 0 then 18 else 10 end as k from conversations where conv_id % 90 < 90")
+def query_year(spark, sf_dir):
+    asked = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Điểm chuẩn "), (2010 + F.col("conv_id") % 90).cast("string"), F.lit("?"))).otherwise("12024 20x")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.query_year(asked).alias("year"), Q.search_limit(asked).alias("k"))
+
+
+@query("select conv_id, turn, case when contains(lower(text), 'tion') then 'T' when regexp_matches(lower(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g')), '\\bof\\b') then 'O' else '' end as program from conversations")
+def detect_program(spark, sf_dir):
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
+    return table(spark, sf_dir, "conversations").withColumn("t", plain).select("conv_id", "turn", Q.program_of("t", [("tion", "T"), ("of", "O")]).alias("program"))
+
+
+@query()
+def detect_school(spark, sf_dir):
+    asked = F.concat(F.get(F.array(*[F.lit(x) for x in ("Học viện PTIT", "bách khoa ơi", "hello", "NEU!")]), (F.col("turn") % 4).cast("int")), F.lit(" "), F.substring("text", 1, 8))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.school_of(asked).alias("school"), Q.is_school_selection(asked).alias("chosen"))
+
+
+@query()
+def message_intent(spark, sf_dir):
+    said = F.get(F.array(*[F.lit(x) for x in ("Xin chào!", "okkkk", "asdf", "học phí?", "???")]), (F.col("conv_id") % 5).cast("int"))
+    rows = table(spark, sf_dir, "conversations").withColumn("said", F.when(F.col("turn") == 0, said).otherwise(F.substring("text", 1, 30)))
+    return rows.select("conv_id", "turn", intent(Q.squash("said")).alias("intent"), nearest_program("said").alias("program"))
+
+
+@query()
+def table_to_text(spark, sf_dir):
+    rows = F.concat(F.lit("intro\n| a | b |\n|---|---|\n| "), "source", F.lit(" | "), "lang", F.lit(" |\n| x | "), "doc_id", F.lit(" |\nend "), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", tables_to_text(rows).alias("text"))
+
+
+@query()
+def ocr_rows(spark, sf_dir):
+    token = lambda cy, cx, text: F.struct(F.lit(float(cy)).alias("cy"), F.lit(float(cx)).alias("cx"), F.lit(10.0).alias("h"), text.alias("text"))
+    code = F.lpad((F.col("page_id") % 1000).cast("string"), 7, "7")
+    tokens = F.array(token(100, 10, code), token(104, 100, F.lit("25,5")), token(99, 200, F.lit("x")), token(300, 10, F.lit("other")), token(301, 24, F.lit("row")))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(token_rows(tokens, F.lit(1000.0))).alias("row")).select("page_id", merged_cells("row").alias("cells"))
+    return rows.withColumn("r", row_records("cells")).select("page_id", F.array_join("cells", "|").alias("cells"), markdown_rows("r").alias("table"))
+
+
+@query()
+def flatten_links(spark, sf_dir):
+    value = F.concat(F.lit('{"a":{"b":["http://x/'), "event_id", F.lit('", "no"]},"c":"http://bare"}'))
+    files = table(spark, sf_dir, "events").select(F.concat(F.lit("d/"), "event_type", F.lit(".json")).alias("path"), value.alias("value"))
+    return crawl.link_rows(files)
+
+
+_EDGES = "(select n_nationkey as src, n_regionkey + 5 as dst from nation union all select n_nationkey, n_nationkey + 7 from nation where n_nationkey < 18)"
+
+
+@query(f"with recursive b as (select 0::int as url, 0 as depth union select e.dst::int, b.depth + 1 from b join {_EDGES} e on e.src = b.url where b.depth < 30) select url::varchar as url, min(depth)::int as depth from b group by url")
+def bfs_frontier(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    edges = n.select(F.col("n_nationkey").alias("src"), (F.col("n_regionkey") + 5).alias("dst")).union(n.where("n_nationkey < 18").select("n_nationkey", F.col("n_nationkey") + 7))
+    start = spark.range(1).select(F.lit("0").alias("url"))
+    return crawl.bfs(edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), start)
+
+
+@query("select page_id from pages where page_id not in (select item_id from benchmark)")
+def unseen_pages(spark, sf_dir):
+    state = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("page_id"))
+    return corpus.unseen(table(spark, sf_dir, "pages").select("page_id"), state, "page_id")
+
+
+@query()
+def normalize_corpus(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("_"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("value"))
+    return corpus.normalize(docs).select("path", "school", "title", F.array_join("tags", ",").alias("tags"), "year", "hash", "status")
+
+
+@query("select conv_id::varchar as session, count(*) as n, array_to_string(list(text order by turn)[-5:], '|') as history from conversations group by conv_id")
+def history_stream(spark, sf_dir):
+    """The streaming form, run over all of the table as one batch and read back."""
+    at = shared_path(spark, "stream")
+    messages = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parquet*")
+    keep = lambda df, _: df.write.mode("append").parquet(f"{at}/out")
+    stream = histories(messages, "conv_id", "turn", "text").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    return out.groupBy("session").agg(F.max("n").alias("n"), F.max_by(F.array_join("history", "|"), "n").alias("history"))

@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from textloom.functions import dictionaries as d
 
@@ -76,12 +77,12 @@ def intent_of(message: str) -> str:
     return "NONSENSE" if nonsense >= 85 or re.fullmatch(r"[\W\d\s]+", message) else "UNKNOWN"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def intent(message: pd.Series) -> pd.Series:
     return message.fillna("").map(intent_of)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
@@ -92,7 +93,7 @@ def nearest(text: str, names: list[str], least: float = 70) -> str:
     return name if score >= least else ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nearest_program(question: pd.Series) -> pd.Series:
     names = sorted({v for _, v in d.PROGRAMS})
     return question.fillna("").map(lambda q: nearest(q.lower(), names))

@@ -9,10 +9,12 @@ from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from textloom.functions import dictionaries as d
 
 LEAST = 150
+PAGE = StructType().add("text", StringType()).add("title", StringType())
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BREAKS = {"p", "div", "article", "section", "main", "ul", "ol", "table", "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -108,12 +110,12 @@ def to_text(page: str, url: str) -> tuple[str, str]:
     return "\n".join(out).strip(), title
 
 
-@F.pandas_udf("struct<text:string,title:string>")
+@F.pandas_udf(PAGE)
 def html_to_text(page: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([to_text(p or "", u or "") for p, u in zip(page, url, strict=True)], columns=["text", "title"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All entities decoded."""
     return text.map(lambda t: None if t is None else entities.unescape(t))

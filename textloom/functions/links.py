@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import dictionaries as d
 from textloom.functions.text import col, contains_any
@@ -94,7 +95,7 @@ def absolute(url: Column | str, href: Column | str) -> Column:
     return F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h).when(F.startswith(h, F.lit("//")), F.concat(scheme, h)).when(F.startswith(h, F.lit("/")), F.concat(head, h)).otherwise(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def joined(url: pd.Series, href: pd.Series) -> pd.Series:
     """Full resolution, for paths with dots."""
     return pd.Series([None if u is None or h is None else urljoin(u, h) for u, h in zip(url, href, strict=True)])

@@ -6,12 +6,14 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 NO_DATA = "không có dữ liệu"
 FIELD = "field"
 BLOCK = re.compile(r"(?:^[ \t]*\|[^\n]*(?:\n|\Z)){2,}", re.MULTILINE)
 DASHES = {"-", "–", "—", "x", "X", ""}
 SCORES = 9
+RECORDS = ArrayType(StructType().add("code", StringType()).add("scores", ArrayType(StringType())))
 
 
 def is_rule(row: str) -> bool:
@@ -58,12 +60,12 @@ def tables_in(text: str) -> str:
     return BLOCK.sub(lambda m: table_sentences(m[0]) + "\n", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def table_to_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else table_sentences(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tables_to_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else tables_in(t))
 
@@ -87,6 +89,6 @@ def parse_row(cells: list[str]) -> list[dict]:
     return []
 
 
-@F.pandas_udf("array<struct<code:string,scores:array<string>>>")
+@F.pandas_udf(RECORDS)
 def row_records(cells: pd.Series) -> pd.Series:
     return cells.map(lambda c: [] if c is None else parse_row(list(c)))

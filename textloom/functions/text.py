@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import dictionaries as d
 
@@ -115,7 +116,7 @@ def clean_content(c: Column | str, markers: list[str] = d.FOOTERS, junk: list[st
     lines of the step before several times over."""
     words = set(junk)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cleaned(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else _cleaned(t, markers, words))
 
@@ -153,8 +154,7 @@ def expand_acronyms(c: Column | str, acronyms: list[tuple[str, str]] = d.ACRONYM
     """The first whole-word occurrence of each acronym spelled out, in texts that speak of admission."""
     t = out = col(c)
     for short, full in acronyms:
-        hit = out.rlike(rf"(?iuU)\b{short}\b") & ~F.contains(out, F.lit(full))
-        out = F.when(hit, F.regexp_replace(out, rf"(?isuU)^(.*?)\b{short}\b", "$1" + full)).otherwise(out)
+        out = F.regexp_replace(out, rf"(?suU)^(?!.*\Q{full}\E)(.*?)(?i:\b{short}\b)", "$1" + full)
     return F.when(contains_any(F.lower(t), context), out).otherwise(t)
 
 

@@ -108,3 +108,8 @@ def unseen(frontier: DataFrame, state: DataFrame, key: str = "key", most: int |
 def last_of_each(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The last row of each group; for groups whose size is bounded by what they are (a session, a document)."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def folder_counts(files: DataFrame) -> DataFrame:
+    """folder, files: the folders that hold files, '' for the top."""
+    return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"))

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.shared import stored
+from textloom.shared import discard, stored
 
 LENGTH = 400
 SPAN = 192
 GRAM = 32
 BLOCK = 16
 PIECE = 1 << 20
-BROADCAST_ROWS = 500_000
+BROADCAST_VALUES = 4_000_000
 
 
 class Anchors:
@@ -157,8 +157,11 @@ def _contexts(length: int, span: int):
             rows = [[] for _ in names]
             for row, text, asked in zip(piece["row"], piece["text"], piece["asked"], strict=True):
                 for q in asked:
-                    lo = max(0, q["at"] - span + 1)
-                    for r, v in zip(rows, (row, q["at"], q["first"], q["last"], q["n"], lo, text[lo : q["at"] + length]), strict=True):
+                    at = q >> 24
+                    first = at - (q >> 12 & 0x7FF)
+                    last = at - (q & 0xFFF)
+                    lo = max(0, at - span + 1)
+                    for r, v in zip(rows, (row, at, first, last, 1 + (q >> 23 & 1), lo, text[lo : at + length]), strict=True):
                         r.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary() if n == "context" else pa.int64()) for n, r in zip(names, rows, strict=True)], names)
 
@@ -217,14 +220,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> D
     suffixes = stored(docs.mapInArrow(_suffixes(length, span), SUFFIXES), "suffixes")
     shared = suffixes.groupBy("near").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("near")
     bucketed = stored(suffixes.join(shared, "near"), "buckets")
+    discard(suffixes)
     kinds = stored(bucketed.groupBy("near", "wide").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "kinds")
     whole = bucketed.join(kinds.where("n > 1").select("near", "wide"), ["near", "wide"])
     covers = whole.select("row", (F.col("at") - span + 1).alias("lo"), (F.col("at") + length).alias("hi"))
 
     mixed = kinds.groupBy("near").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("near")
-    asked = kinds.join(mixed, "near").select("one.*", "n")
-    asked = stored(asked.groupBy("row").agg(F.collect_list(F.struct("at", "first", "last", "n")).alias("asked")), "asked")
-    held = docs.join(_small(asked), "row")
+    one = kinds.join(mixed, "near").select("one.*", F.when(F.col("n") > 1, 1).otherwise(0).cast("long").alias("more"))
+    # A request in one number: place, whether others are like it, and how far before it its first and last start lie.
+    packed = F.shiftleft("at", 24).bitwiseOR(F.shiftleft("more", 23)).bitwiseOR(F.shiftleft(F.col("at") - F.col("first"), 12)).bitwiseOR(F.col("at") - F.col("last"))
+    asked = stored(one.groupBy("row").agg(F.collect_list(packed).alias("asked")), "asked")
+    held = docs.join(_small(asked, "asked"), "row")
     contexts = stored(held.mapInArrow(_contexts(length, span), "row long, at long, first long, last long, n long, lo long, context binary"), "contexts")
 
     blocks = stored(contexts.mapInArrow(_blocks(length), "row long, at long, n long, block long, spanned binary, shared binary"), "blocks")
@@ -241,9 +247,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> D
     return covers.union(single.select("row", (F.col("at") - F.col("back")).alias("lo"), (F.col("at") - F.col("back") + length).alias("hi")))
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A hint to broadcast a stored table of few rows; with more, the join shuffles."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _small(table: DataFrame, values: str) -> DataFrame:
+    """A hint to broadcast a stored table whose rows and lists of longs come to few values; with more, the join shuffles."""
+    n = table.agg(F.coalesce(F.sum(F.size(values) + 4), F.lit(0))).first()[0]
+    return F.broadcast(table) if n <= BROADCAST_VALUES else table
 
 
 KEPT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
@@ -260,14 +267,21 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of a row as the bounds of its runs, in one list."""
+    for batch in batches:
+        runs = [[x for run in merged([(s["lo"], s["hi"]) for s in spans.as_py()], 1 << 62) for x in run] for spans in batch.column("spans")]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(runs, pa.list_(pa.int64()))], ["row", "runs"])
+
+
 def _cut(with_bytes: bool):
     names = [n for n in KEPT if with_bytes or n != "kept"]
 
     def run(batches):
         for piece in _documents(batches):
             rows = []
-            for doc_id, text, spans in zip(piece["doc_id"], piece["text"], piece["spans"], strict=True):
-                runs = merged([(s["lo"], s["hi"]) for s in spans or []], len(text))
+            for doc_id, text, bounds in zip(piece["doc_id"], piece["text"], piece["runs"], strict=True):
+                runs = merged(list(zip(*[iter(bounds or [])] * 2, strict=True)), len(text))
                 kept = b"".join(text[a:b] for a, b in zip([0, *(hi for _, hi in runs)], [*(lo for lo, _ in runs), len(text)], strict=True))
                 rows.append((doc_id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
             yield pa.RecordBatch.from_arrays([pa.array([r[list(KEPT).index(n)] for r in rows], KEPT[n]) for n in names], names)
@@ -285,6 +299,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, with
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     spans = repeated_spans(texts.select("row", "text"), length, span)
-    per_row = stored(spans.distinct().groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    per_row = stored(spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).mapInArrow(_runs, "row long, runs array<bigint>"), "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return texts.join(_small(per_row), "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_bytes), schema)
+    return texts.join(_small(per_row, "runs"), "row", "left").select("doc_id", "text", "runs").mapInArrow(_cut(with_bytes), schema)

@@ -495,7 +495,7 @@ def history_stream(spark, sf_dir):
     at = shared_path(spark, "stream")
     messages = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parquet*")
     keep = lambda df, _: df.write.mode("append").parquet(f"{at}/out")
-    stream = histories(messages, "conv_id", "turn", "text").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    stream = histories(messages, "conv_id", "turn", "text", expire=False).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
     out = spark.read.parquet(f"{at}/out")
     return out.groupBy("session").agg(F.max("n").alias("n"), F.max_by(F.array_join("history", "|"), "n").alias("history"))

@@ -61,3 +61,23 @@ def test_empty_and_repeated(spark):
     assert find_secrets(spark.createDataFrame([], DOCS)).collect() == []
     rows = find_secrets(spark.createDataFrame([(None, KEY, 1, ""), (1, KEY, 1, ""), (1, KEY, 1, "")], DOCS)).collect()
     assert len(rows) == 3 and {r.spans for r in rows} == {"access:0:20"}
+
+
+def test_links_of_long_tokens_at_all_offsets(spark):
+    """Against a plain double loop over the parts of each text."""
+    texts = [f"{'.' * lead} {('aB3' * n)[:n]}{' ' * gap}{KEY} x" for n in (40, 100, 300, 600) for gap in (1, 90, 180, 250, 256, 257, 300) for lead in (0, 100, 200, 255)]
+    texts += [f"{KEY}{' ' * gap}{('aB3' * 400)[:n]} {'.' * 300}" for n in (40, 600) for gap in (1, 255, 256, 257)]
+    texts += [f"{'aB3' * n}= secret=abcdefghijkl" for n in (10, 300)] + [f"https://h.example/{'a/' * n} {'.' * gap} {KEY}" for n in (20, 300) for gap in (1, 250, 300)]
+    texts += [f"{'aB3' * 200}{KEY}{'.' * lead}" for lead in (0, 9)]
+    for i, spans in check(spark, texts).items():
+        text, rank = texts[i], ["assign", "access", "hex", "token", "endpoint"]
+        found = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base(text))]
+        tokens = [("token", m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        ends = [("endpoint", m.start(), m.end()) for m in re.finditer(r"""https?://[^\s"'<>]{4,}""", text)]
+        out = list(found)
+        for kind, start, end in tokens + ends:
+            by = {k for k, a, b in found + ends if a <= end + 256 and b >= start - 256}
+            touches = any(a < end and b > start for _, a, b in found)
+            if ("access" in by or {"endpoint", "assign"} <= by) and not touches if kind == "token" else by & {"access", "assign"}:
+                out.append((kind, start, end))
+        assert spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(out, key=lambda s: (s[1], rank.index(s[0])))), text

@@ -55,11 +55,13 @@ def _parts(found: DataFrame) -> DataFrame:
 def _linked(parts: DataFrame, scope: int) -> DataFrame:
     """The weak parts with their complements in scope: a token beside an access identifier, or beside both an endpoint and
     an assignment; an endpoint beside an access identifier or an assignment. Tokens that touch a sure find are part of it."""
-    weak = parts.where(F.col("kind").isin("token", "endpoint")).withColumn("cell", F.floor(F.col("start") / scope))
-    cells = F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope)))
-    near = parts.where("kind != 'token'").select("row", F.col("kind").alias("by"), F.col("start").alias("a"), F.col("end").alias("b"), cells.alias("cell"))
+    cell = lambda c: F.floor(c / scope)
+    weak = parts.where(F.col("kind").isin("token", "endpoint"))
+    weak = weak.select("*", cell(F.col("start")).alias("cell_1"), F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell"))
+    near = parts.where("kind != 'token'").select("row", F.col("kind").alias("by"), F.col("start").alias("a"), F.col("end").alias("b"))
+    near = near.select("*", cell(F.col("a") - scope).alias("cell_2"), F.explode(F.sequence(cell(F.col("a") - scope), cell(F.col("b") + scope))).alias("cell"))
     within = (F.col("a") <= F.col("end") + scope) & (F.col("b") >= F.col("start") - scope)
-    met = weak.join(near, ["row", "cell"]).where(within)
+    met = weak.join(near, ["row", "cell"]).where(within & (F.col("cell") == F.greatest("cell_1", "cell_2")))  # once, in the first cell of both
     has = lambda k: F.max((F.col("by") == k).cast("int")) == 1
     touches = F.max(((F.col("a") < F.col("end")) & (F.col("b") > F.col("start")) & F.col("by").isin(*BASE)).cast("int")) == 1
     token = has("access") | (has("endpoint") & has("assign"))

@@ -86,3 +86,10 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(links).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, a), (2, a), (3, b), (4, b), (1, b), (5, "one two"), (7, "Three  four"), (7, "three four"), (None, "five"), (None, "five"), (None, None)]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (5, "one two"), (7, "Three  four"), (None, "five"), (None, None)], key=str)

@@ -39,3 +39,16 @@ def test_query(spark, duck, name):
         assert rows(df.columns, got) == rows(want.columns, want.fetchall())
     elif name != "file_links":
         assert got
+
+
+def test_messages_are_read_whole(spark, tmp_path):
+    from textloom.functions import fuzzy
+
+    lead = "xin chao " * 8
+    said = ["xin chao", lead + "hoc phi bao nhieu", "z" * 40 + " cong nghe thong tin", "ok", "q" * 60, "asdf"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names = sorted({v for _, v in fuzzy.d.PROGRAMS})
+    got = {r.turn: (r.intent, r.program) for r in catalog.QUERIES["message_intent"](spark, str(tmp_path)).collect()}
+    squashed = [r.text for r in sorted(catalog.QUERIES["squash_repeats"](spark, str(tmp_path)).collect(), key=lambda r: r.turn)]
+    assert got == {i: (fuzzy.intent_of(s), fuzzy.nearest(t.lower(), names)) for i, (s, t) in enumerate(zip(squashed, said, strict=True))}
+    assert got[0][0] == "GREETING" and got[1][0] == "UNKNOWN"

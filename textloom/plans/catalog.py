@@ -433,15 +433,13 @@ def detect_program(spark, sf_dir):
 
 @query()
 def detect_school(spark, sf_dir):
-    asked = F.concat(F.get(F.array(*[F.lit(x) for x in ("Học viện PTIT", "bách khoa ơi", "hello", "NEU!")]), (F.col("turn") % 4).cast("int")), F.lit(" "), F.substring("text", 1, 8))
+    asked = F.concat(F.get(F.array(*[F.lit(x) for x in ("Học viện PTIT", "bách khoa ơi", "hello", "NEU!")]), (F.col("turn") % 4).cast("int")), F.lit(" "), "text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.school_of(asked).alias("school"), Q.is_school_selection(asked).alias("chosen"))
 
 
 @query()
 def message_intent(spark, sf_dir):
-    said = F.get(F.array(*[F.lit(x) for x in ("Xin chào!", "okkkk", "asdf", "học phí?", "???")]), (F.col("conv_id") % 5).cast("int"))
-    rows = table(spark, sf_dir, "conversations").withColumn("said", F.when(F.col("turn") == 0, said).otherwise(F.substring("text", 1, 30)))
-    return rows.select("conv_id", "turn", intent(Q.squash("said")).alias("intent"), nearest_program("said").alias("program"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent(Q.squash("text")).alias("intent"), nearest_program("text").alias("program"))
 
 
 @query()

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -68,7 +67,6 @@ def _threaten(s: int, kind: int) -> tuple[int, float]:
     return (0, 1.0) if s and kind == TARGET else (max(0, s - 1), 0.0)
 
 
-@lru_cache(maxsize=None)
 def composed() -> dict[tuple[State, int], tuple[State, float, float]]:
     """The reachable joint states: (state, class) to (state, factor of an insult's weight, factor of a threat's)."""
     made, todo = {}, [State()]
@@ -102,7 +100,10 @@ TRAITS = 4
 
 
 def traits(texts: list[str], insults: dict[str, float]) -> np.ndarray:
-    """Of each text: log of its clause scores' sum, largest clause score, log of the clauses that score, their share of words."""
+    """Of each text: log of its clause scores' sum, largest clause score, log of the clauses that score, their share of clauses.
+
+    The machine has a few hundred states and is composed anew for each piece of texts: as an object it would be sent to
+    executors by name, and they need not have this package."""
     out, machine = np.zeros((len(texts), TRAITS)), composed()
     marks = {*insults, *THREATS}
     for i, t in enumerate(texts):
@@ -175,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out (false for a null id), score and predicted (1 from 0.3 on) of every document.
 
-    Null and empty texts match no clause. Rows that repeat are scored alike; other columns are left out."""
+    Null and empty texts match no clause; very long texts are read whole. Rows that repeat are scored alike; other columns
+    are left out, whatever their names; an empty table gives no rows. Insults are at most ``MOST_INSULTS`` words."""
     model = model or train(docs, labels)
 
     def run(batches):

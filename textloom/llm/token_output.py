@@ -76,7 +76,7 @@ class WordEncoder:
             self.stems.clear()
         new = words.difference(self.words)
         cut = {w: w.rstrip(MARKS) for w in new}
-        plain = {w: s for w, s in cut.items() if s.isalpha() and max(s) < LETTERS}
+        plain = {w: s for w, s in cut.items() if (low := s.lower()).isalpha() and max(low) < LETTERS}  # as the tokenizer sees it
         self._learn_stems([s for s in set(plain.values()) if s not in self.stems])
         rest = [*(new.difference(plain)), *{w[len(s) :] for w, s in plain.items() if len(s) < len(w)}.difference(self.words)]
         for i in range(0, len(rest), 10_000):

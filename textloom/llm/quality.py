@@ -94,21 +94,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Rankin
     return fit(np.array([r.x for r in got]).reshape(len(got), MEASURES), np.array([r.label for r in got], float))
 
 
-def scored(docs: DataFrame, ranking: Ranking) -> DataFrame:
-    """``docs`` with a column ``quality_score``; a column of that name is replaced. Null and empty texts get the score of
-    no text at all. Rows that repeat are scored alike; an empty table stays empty."""
+def scored(docs: DataFrame, ranking: Ranking, score: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``score``, whose name must be free. Null and empty texts get the score of no text at all; very
+    long texts are read whole, a bounded number of characters at a time. Rows that repeat are scored alike; an empty table
+    stays empty."""
 
     def run(batches):
         for batch in batches:
-            texts = [v.as_py() or "" for v in batch.column(batch.schema.names.index("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranking(measures(texts)), pa.float64())], [*batch.schema.names, "quality_score"])
+            at = 0
+            for piece in pieces(iter([batch.select(["text"])])):
+                part = batch.slice(at, len(piece["text"]))
+                at += len(piece["text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ranking(measures(piece["text"])), pa.float64())], [*batch.schema.names, score])
 
-    docs = docs.drop("quality_score")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out (false for a null id), score and predicted (1 from 0.5 on) of every document."""
+    """doc_id, held_out (false for a null id), score and predicted (1 from 0.5 on) of every document.
+
+    Null and empty texts get the score of no text; very long texts are read whole. Rows that repeat are scored alike; other
+    columns are left out, whatever their names; an empty table gives no rows."""
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
     score = F.col("quality_score")
     return rows.select("doc_id", F.coalesce(fold("doc_id", PARTS) == HELD, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
@@ -116,5 +122,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """The rows of ``docs``, all columns, without those that score under the ranking's quantile and under 0.5: where few
-    documents are bad, the quantile alone would also reject good ones."""
-    return scored(docs, ranking).where(F.col("quality_score") >= min(ranking.cut, 0.5)).select(docs.columns)
+    documents are bad, the quantile alone would also reject good ones. Nulls, empty and very long texts, repeated rows and
+    empty tables are as for ``scored``; a column of any name comes through as it is."""
+    score = next(n for n in (f"score_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return scored(docs, ranking, score).where(F.col(score) >= min(ranking.cut, 0.5)).select(docs.columns)

@@ -44,3 +44,27 @@ def test_edges(spark):
     kept = mixed(odd)
     assert kept.columns == odd.columns and kept.count() == 4
     assert mixing_weights(odd.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("one_task", [100_000, 0])
+def test_rake_in_one_task_and_over_the_cluster(spark, one_task):
+    cells = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 1.0), ("b", "x", 2.0), (None, "y", 4.0)], "p string, q string, tokens double")
+    to = {"p": spark.createDataFrame([("a", 0.5), ("b", 0.2), (None, 0.3)], "value string, share double"), "q": spark.createDataFrame([("x", 0.4), ("y", 0.6)], "value string, share double")}
+    got = {(r.p, r.q): r.w for r in rake(cells, to, one_task=one_task).collect()}
+    for i, want in ((0, {"a": 0.5, "b": 0.2, None: 0.3}), (1, {"x": 0.4, "y": 0.6})):
+        assert {v: pytest.approx(sum(w for k, w in got.items() if k[i] == v), abs=1e-5) for v in want} == want
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", 3.0), ("b", "y", 1.0)], "p string, q string, tokens double")
+    to = {"p": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "value string, share double"), "q": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "value string, share double")}
+    with pytest.warns(UserWarning, match="raking stopped"):
+        assert rake(cells, to, rounds=4).count() == 2
+
+
+def test_columns_of_any_name_come_through(spark):
+    rows = docs(spark, 500).selectExpr("*", "1 as chosen", "'p' as probability", "'t' as topic", "2 as mixing_0", "3 as c_source", "4 as r")
+    kept = mixed(rows)
+    assert kept.columns == rows.columns
+    want = {r.doc_id for r in mixing_weights(docs(spark, 500)).collect() if r.sampled}
+    assert {r.doc_id for r in kept.collect()} == want and 0 < len(want) < 500

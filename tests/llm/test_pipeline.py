@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_against_brute_force(spark):
     from tokenizers import Tokenizer
 
-    from tests.llm.test_simhash import plain, plain_groups
+    from tests.llm.test_near_dedup import brute_groups
 
     docs = table(spark, SF, "documents")
     names = docs.columns
@@ -32,12 +32,8 @@ def test_stages_against_brute_force(spark):
     scores = {r.doc_id: float(ranking(quality.measures([r.text]))[0]) for r in table(spark, SF, "documents").collect()}
     assert {r.doc_id for r in first} == {d for d, s in scores.items() if s >= min(ranking.cut, 0.5)}
 
-    fps = {r.doc_id: plain(r.text) for r in first}
-    groups = plain_groups(sorted(set(fps.values())))
-    lowest = {}
-    for d in sorted(fps):
-        lowest.setdefault(groups[fps[d]], d)
-    assert {r.doc_id for r in second} == set(lowest.values())
+    groups, _ = brute_groups({r.doc_id: r.text for r in first})
+    assert {r.doc_id for r in second} == set(groups.values())
 
     split = lambda t: [w for w in re.split(r"[^\w]|_", t.lower()) if w]
     items = [split(r.text) for r in table(spark, SF, "benchmark").collect()]

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from textloom.llm.components import connected_components
-from textloom.llm.simhash import GrayIndex, fingerprint, near_links, one_of_each, simhash_groups
+from textloom.llm.simhash import GrayIndex, fingerprint, near_links, simhash_groups
 
 DOCS = "doc_id long, text string, fp string, root long"
 
@@ -76,9 +76,6 @@ def test_groups(spark):
         want.append((r[0], f"{values[i]:016x}", min(members)))
     key = lambda r: (r[0] is None, *map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    kept = one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {r[2] for r in want} | {None}
     assert simhash_groups(docs.limit(0)).collect() == []
 
 
@@ -86,10 +83,3 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(links).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
-
-
-def test_one_row_of_each_group(spark):
-    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
-    rows = [(1, a), (1, a), (2, a), (3, b), (4, b), (1, b), (5, "one two"), (7, "Three  four"), (7, "three four"), (None, "five"), (None, "five"), (None, None)]
-    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (5, "one two"), (7, "Three  four"), (None, "five"), (None, None)], key=str)

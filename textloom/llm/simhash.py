@@ -70,7 +70,8 @@ class GrayIndex:
     """Fingerprints by Gray rank, under nodes that hold the value of the bits which all below them share."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # shared bits and their values, leaves' parents first
         ones, any_ = self.fps, self.fps
         size = LEAF
@@ -194,24 +195,7 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     links = stored(near_links(distinct, radius), "links")
     roots = connected_components(links)
     lows = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    groups = lows.select("fp", "root").join(lowest, "root").select("fp", "component_id")
+    lows = stored(lows, "lows")
+    lowest = stored(lows.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")  # joined where it was made, a large group would hold up one task
+    groups = stored(lows.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "groups")
     return rows.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, that have the smallest doc_id of their group; rows with a null id are set against
-    each other alone. Of rows of a group that share that id or have none, one stays (the one whose text sorts first)."""
-    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = simhash_groups(keyed.select(F.col("__row").alias("doc_id"), "text"), radius)
-    groups = groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group"))
-    ids = stored(keyed.select("__row", F.col("doc_id").alias("id")).join(groups, "__row"), "ids")
-    lowest = ids.where("id is not null").groupBy("group").agg(F.min("id").alias("id"))
-    firsts = ids.join(lowest, ["group", "id"]).select("group", "id", "__row").union(ids.where("id is null").select("group", "id", "__row"))
-    firsts = stored(firsts, "firsts")
-    sets = firsts.groupBy("group", "id").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("__row"))
-    shared = sets.where("n > 1").select(F.col("group").alias("g"), F.col("id").alias("i"))
-    tied = firsts.join(shared, (F.col("group") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("group", "id", "__row")
-    tied = tied.join(keyed.select("__row", "text"), "__row").groupBy("group", "id").agg(F.min(F.struct("text", "__row")).alias("first"))
-    keep = sets.where("n = 1").select("__row").union(tied.select("first.__row"))
-    return keyed.join(keep, "__row", "left_semi").select(docs.columns)

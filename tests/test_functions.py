@@ -106,8 +106,9 @@ def test_normalize_and_files(spark, tmp_path):
     assert set(got) == {"a/s_1.md", "a-b/s_2.md"} and got["a/s_1.md"].tags == ["2024", "a", "hoc_phi", "root"]
     assert got["a/s_1.md"].status == "ok" and got["a-b/s_2.md"].status == "dup" and got["a/s_1.md"].content == "Học phí 2024"
     out = corpus.normalized_file(corpus.normalize(files))
-    sinks.write_texts(out, str(tmp_path / "out"))
-    assert out.count() == 1 and list((tmp_path / "out").glob("folder=a/*"))
+    assert sinks.write_texts(out, str(tmp_path / "out")) == 1
+    head = "[TITLE]\nT\n\n[URL]\nhttp://u/1\n\n[META]\nschool: s\ntags: 2024,a,hoc_phi\nyear: 2024\nhash: "
+    assert (tmp_path / "out/a/s_1.md").read_text().startswith(head) and (tmp_path / "out/a/s_1.md").read_text().endswith("\n\n---\n\nHọc phí 2024\n")
     (tmp_path / "links").mkdir()
     (tmp_path / "links/l.json").write_text('{"k": ["http://x"]}')
     assert [tuple(r) for r in readers.link_files(spark, str(tmp_path / "links")).collect()] == [("l", "http://x", "k")]

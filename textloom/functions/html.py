@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -24,13 +25,25 @@ class _Node:
         self.tag, self.attrs, self.up, self.below = tag, attrs, up, []
 
     def all(self):
-        yield self
-        for x in self.below:
-            if isinstance(x, _Node):
-                yield from x.all()
+        """The node and those below it in document order; pages may nest deeper than Python calls can."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [x for x in reversed(node.below) if isinstance(x, _Node)]
+
+    def texts(self) -> Iterator[str]:
+        todo: list = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                yield x
+            else:
+                todo += reversed(x.below)
 
     def text(self) -> str:
-        return "".join(x if isinstance(x, str) else x.text() for x in self.below)
+        """Every piece of text without blanks around it."""
+        return "".join(t.strip() for t in self.texts())
 
 
 class _Tree(HTMLParser):
@@ -55,11 +68,9 @@ class _Tree(HTMLParser):
         self.at.below.append(data)
 
 
-def _drop(node: _Node, tags: list[str]) -> None:
-    node.below = [x for x in node.below if isinstance(x, str) or x.tag not in tags]
-    for x in node.below:
-        if isinstance(x, _Node):
-            _drop(x, tags)
+def _drop(root: _Node, tags: list[str]) -> None:
+    for node in root.all():
+        node.below = [x for x in node.below if isinstance(x, str) or x.tag not in tags]
 
 
 def _content(root: _Node) -> _Node:
@@ -67,16 +78,24 @@ def _content(root: _Node) -> _Node:
     chosen = [lambda n: n.tag == "article", lambda n: n.tag == "main", *(lambda n, c=c: c in n.attrs.get("class", "") for c in d.CONTENT_CLASSES)]
     for fits in chosen:
         node = next((n for n in root.all() if n is not root and fits(n)), None)
-        if node and len(node.text().strip()) > LEAST:
+        if node and len(node.text()) > LEAST:
             return node
     return root
 
 
-def _markdown(node: _Node, url: str) -> str:
+def _markdown(root: _Node, url: str) -> str:
+    made: dict[int, str] = {}
+    for node in reversed(list(root.all())):  # those below come before the node itself
+        inner = "".join(re.sub(r"\s+", " ", x) if isinstance(x, str) else made.pop(id(x)) for x in node.below)
+        made[id(node)] = _marked(node, inner, url)
+    return made[id(root)]
+
+
+def _marked(node: _Node, inner: str, url: str) -> str:
+    """A node's own markdown around that of what is below it."""
     if node.tag == "img":
         src = node.attrs.get("src") or node.attrs.get("data-src") or ""
         return f"![{node.attrs.get('alt', '')}]({src if src.startswith('data:') else urljoin(url, src)})" if src else ""
-    inner = "".join(re.sub(r"\s+", " ", x) if isinstance(x, str) else _markdown(x, url) for x in node.below)
     if node.tag == "br":
         return "\n"
     if node.tag == "a" and node.attrs.get("href"):
@@ -101,7 +120,7 @@ def to_text(page: str, url: str) -> tuple[str, str]:
     tree = _Tree()
     tree.feed(page)
     tree.close()
-    title = next((n.text().strip() for n in tree.root.all() if n.tag == "title"), "")
+    title = next((n.text() for n in tree.root.all() if n.tag == "title"), "")
     _drop(tree.root, [*d.HIDDEN_ELEMENTS, "title"])
     out: list[str] = []
     for x in (x.strip() for x in _markdown(_content(tree.root), url).splitlines()):

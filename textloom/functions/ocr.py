@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import col
+from textloom.functions.text import bound, col
 
 ROW_GAP, JOIN_GAP = 0.020, 1.2
 TOKEN = "struct<cx:double,h:double,text:string>"
@@ -39,7 +39,47 @@ def merged_cells(row: Column | str, gap: float = JOIN_GAP) -> Column:
     return F.aggregate(col(row), start, step, lambda a: F.when(a["text"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["text"]))))
 
 
-def markdown_rows(records: Column | str) -> Column:
-    """A markdown table of (code, scores) records: number, code, then the scores."""
-    line = lambda r, i: F.concat(F.lit("| "), (i + 1).cast("string"), F.lit(" | "), r["code"], F.lit(" | "), F.array_join(r["scores"], " | "), F.lit(" |"))
-    return F.array_join(F.transform(col(records), line), "\n")
+# The columns of a score table.
+COLUMNS = ["Ngành", "Mã ngành", "THPT", "ĐGNL/TSA", "SAT", "ACT", "HSA", "SPT", "APT", "Kết hợp", "TTNV"]
+LEAST_TABLE, LEAST_TEXT = 30, 20
+
+
+def _line(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+
+def markdown_rows(records: Column | str, section: str = "") -> Column:
+    """A markdown table of (code, scores) records, with a header; the name's column is empty. '' without records."""
+    head = F.lit((f"\n## {section}\n\n" if section else "") + "| " + " | ".join(COLUMNS) + " |\n|" + "---|" * len(COLUMNS) + "\n")
+    lines = F.transform(col(records), lambda r: _line(F.concat(F.array(F.lit(""), r["code"]), r["scores"])))
+    return F.when(F.size(col(records)) > 0, F.concat(head, F.array_join(lines, "\n"))).otherwise("")
+
+
+def generic_table(rows: Column | str) -> Column:
+    """Rows of cells as a markdown table if the first has two or more and the next ones (ten in all) as many, else as lines."""
+    kept = F.filter(F.transform(col(rows), lambda r: F.filter(F.transform(r, lambda c: F.trim(c)), lambda c: c != "")), lambda r: F.size(r) > 0)
+
+    def made(ls: Column) -> Column:
+        n = F.size(F.get(ls, F.lit(0)))
+        even = (F.size(ls) >= 2) & (n >= 2) & F.forall(F.slice(ls, 1, 10), lambda r: F.size(r) == n)
+        rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), n))
+        table = F.concat_ws("\n", _line(ls[0]), rule, F.array_join(F.transform(F.slice(ls, F.lit(2), F.size(ls)), _line), "\n"))
+        return F.when(even, table).otherwise(F.array_join(F.transform(ls, lambda r: F.array_join(r, " | ")), "\n"))
+
+    return bound(kept, made)
+
+
+def picture_text(tables: Column | str, generic: Column | str) -> Column:
+    """What stands for a picture in its page: its score table, else what else was read; null if that is too little to keep."""
+    t, g = col(tables), col(generic)
+    text = F.when(F.length(F.trim(F.coalesce(t, F.lit("")))) >= LEAST_TABLE, t).otherwise(g)
+    return F.when(F.length(F.trim(text)) > LEAST_TEXT, text)
+
+
+def table_page(url: Column | str, title: Column | str, tables: Column | str) -> Column:
+    """The tables of a page's pictures as one text with its header, and the number of rows as they are counted there."""
+    t, u = col(tables), col(url)
+    name = F.when(F.coalesce(col(title), F.lit("")) == "", u).otherwise(col(title))
+    text = F.concat(F.lit("["), name, F.lit("]\n[URL: "), u, F.lit("]\n\n# "), name, F.lit("\n"), F.array_join(t, "\n\n"), F.lit("\n"))
+    rows = F.aggregate(F.transform(t, lambda x: F.regexp_count(x, F.lit(r"\n\| "))), F.lit(0), lambda a, x: a + x)
+    return F.struct(F.when(F.size(t) > 0, text).otherwise("").alias("text"), rows.alias("rows"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import dictionaries as d
 from textloom.functions.text import col, contains_any, rule_tags, strip
@@ -16,10 +21,22 @@ def fold_accents(c: Column | str) -> Column:
     return F.translate(F.lower(strip(c)), _FROM, _TO)
 
 
+@F.pandas_udf(StringType())
+def bare_letters(text: pd.Series) -> pd.Series:
+    """Lower case without combining marks, whether they stand alone or in a letter; no built-in function takes letters apart."""
+
+    def one(t: str | None) -> str | None:
+        if t is None or t.isascii():
+            return t and t.lower()
+        return re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", t.lower())).replace("đ", "d")
+
+    return text.map(one)
+
+
 def squash(c: Column | str) -> Column:
-    """Accents folded, three or more of a character to one, blanks collapsed."""
-    t = F.regexp_replace(fold_accents(c), r"(.)\1{2,}", "$1")
-    return strip(F.regexp_replace(t, r"(?U)\s+", " "))
+    """Bare letters, three or more of a character to one, blanks collapsed."""
+    t = F.regexp_replace(bare_letters(col(c)), r"([^\n])\1{2,}", "$1")
+    return strip(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def program_of(c: Column | str, programs: list[tuple[str, str]] = d.PROGRAMS) -> Column:

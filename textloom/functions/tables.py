@@ -10,7 +10,8 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 NO_DATA = "không có dữ liệu"
 FIELD = "field"
-BLOCK = re.compile(r"(?:^[ \t]*\|[^\n]*(?:\n|\Z)){2,}", re.MULTILINE)
+BLOCK = re.compile(r"^[ \t]*\|[^\n]*(?:\n[ \t]*\|[^\n]*)+", re.MULTILINE)
+LEAD = re.compile(r"\d{1,3}\.?\d*")
 DASHES = {"-", "–", "—", "x", "X", ""}
 SCORES = 9
 RECORDS = ArrayType(StructType().add("code", StringType()).add("scores", ArrayType(StringType())))
@@ -32,9 +33,7 @@ def _trimmed(cells: list[str]) -> list[str]:
 
 
 def _value(cell: str) -> str:
-    if cell.upper() == "X":
-        return NO_DATA
-    return re.sub(r"\s{2,}", " ", re.sub(r"\s*\|\s*", "; ", cell)).strip(" ;") if "|" in cell else cell
+    return NO_DATA if cell.upper() == "X" else cell
 
 
 def table_sentences(table: str) -> str:
@@ -56,7 +55,7 @@ def table_sentences(table: str) -> str:
 
 
 def tables_in(text: str) -> str:
-    """Each block of two or more table lines in a text replaced by its sentences."""
+    """Each block of two or more table lines in a text replaced by its sentences and a line end; the block's own stays too."""
     return BLOCK.sub(lambda m: table_sentences(m[0]) + "\n", text)
 
 
@@ -71,13 +70,9 @@ def tables_to_text(text: pd.Series) -> pd.Series:
 
 
 def score_of(part: str) -> str:
+    """The number that a part starts with, '-' for a dash or a cross, else the part itself; commas count as points."""
     part = part.replace(",", ".")
-    if re.fullmatch(r"\d{1,3}(\.\d{1,2})?", part):
-        return part
-    if part in DASHES:
-        return "-"
-    lead = re.match(r"\d{1,3}\.?\d*", part)
-    return lead[0] if lead else part
+    return "-" if part in DASHES else (LEAD.match(part) or [part])[0]
 
 
 def parse_row(cells: list[str]) -> list[dict]:
@@ -89,6 +84,12 @@ def parse_row(cells: list[str]) -> list[dict]:
     return []
 
 
+@F.pandas_udf(RECORDS)
+def table_records(rows: pd.Series) -> pd.Series:
+    """The records of all rows of a table."""
+    return rows.map(lambda rs: [] if rs is None else [r for cells in rs for r in parse_row(list(cells))])
+
+
 @F.pandas_udf(RECORDS)
 def row_records(cells: pd.Series) -> pd.Series:
     return cells.map(lambda c: [] if c is None else parse_row(list(c)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,10 +28,15 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), EDGES, "")
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` worked out once: functions over arrays work their arguments out anew at each mention."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def split_lines(c: Column | str) -> Column:
     """Lines by every line end that Unicode has, without an empty last one."""
-    lines = F.split(col(c), LINE_ENDS)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    lines = F.split(F.regexp_replace(col(c), rf"(?:{LINE_ENDS})\z", ""), LINE_ENDS)
+    return F.when(col(c) == "", F.array().cast("array<string>")).otherwise(lines)
 
 
 def contains_any(c: Column | str, words: list[str]) -> Column:
@@ -78,16 +84,22 @@ def _nav_end(lines: Column) -> Column:
 
 
 def drop_nav_block(lines: Column) -> Column:
-    nav = _nav_end(lines)
-    return F.when(nav["from"] >= 0, F.concat(F.slice(lines, F.lit(1), nav["from"]), F.slice(lines, nav["to"] + 1, F.size(lines)))).otherwise(lines)
+    def cut(ls: Column) -> Column:
+        return bound(_nav_end(ls), lambda nav: F.when(nav["from"] >= 0, F.concat(F.slice(ls, F.lit(1), nav["from"]), F.slice(ls, nav["to"] + 1, F.size(ls)))).otherwise(ls))
+
+    return bound(lines, cut)
 
 
 def cut_footer(lines: Column, markers: list[str] = d.FOOTERS) -> Column:
     """Lines up to the first in the last 30 % that has a marker."""
-    n = F.size(lines)
-    first = F.floor(n * F.lit(0.7)).cast("int")
-    place = F.array_min(F.transform(F.slice(lines, first + 1, n), lambda x, i: F.when(contains_any(x, markers), first + i)))
-    return F.slice(lines, F.lit(1), F.coalesce(place, n))
+
+    def cut(ls: Column) -> Column:
+        n = F.size(ls)
+        first = F.floor(n * F.lit(0.7)).cast("int")
+        place = F.array_min(F.transform(F.slice(ls, first + 1, n), lambda x, i: F.when(contains_any(x, markers), first + i)))
+        return F.slice(ls, F.lit(1), F.coalesce(place, n))
+
+    return bound(lines, cut)
 
 
 def drop_junk_lines(lines: Column, junk: list[str] = d.JUNK) -> Column:
@@ -204,9 +216,12 @@ def chunks(c: Column | str, size: int = CHUNK, overlap: int = OVERLAP, tail: int
     def step(a: Column, line: Column) -> Column:
         n = a["n"] + F.length(line)
         lines = F.concat(a["lines"], F.array(line))
-        kept = carried(lines)
-        full = F.struct(F.concat(a["done"], F.array(F.array_join(lines, "\n"))).alias("done"), kept["kept"].alias("lines"), kept["n"].alias("n"), F.size(kept["kept"]).alias("old"))
-        return F.when(n >= size, full).otherwise(F.struct(a["done"].alias("done"), lines.alias("lines"), n.alias("n"), a["old"].alias("old")))
+
+        def full(ls: Column) -> Column:
+            done = F.concat(a["done"], F.array(F.array_join(ls, "\n")))
+            return bound(carried(ls), lambda k: F.struct(done.alias("done"), k["kept"].alias("lines"), k["n"].alias("n"), F.size(k["kept"]).alias("old")))
+
+        return F.when(n >= size, bound(lines, full)).otherwise(F.struct(a["done"].alias("done"), lines.alias("lines"), n.alias("n"), a["old"].alias("old")))
 
     def finish(a: Column) -> Column:
         rest = F.array_join(a["lines"], "\n")

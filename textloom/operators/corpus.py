@@ -67,18 +67,21 @@ def normalize(docs: DataFrame, steps: tuple[str, ...] = STEPS, state: DataFrame
     return df.select("path", "filename", "school", F.when(F.col("title") == "", F.col("filename")).otherwise(F.col("title")).alias("title"), "url", "tags", "year", "hash", "status", "content")
 
 
-def normalized_file(df: DataFrame) -> DataFrame:
-    """Path and text of each document that is no duplicate, with its header."""
+def normalized_file(df: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """Path and text of each document that is no duplicate, under a header with what the chosen steps found."""
     meta = F.concat_ws(
         "\n",
         F.lit("[META]"),
         F.concat(F.lit("school: "), F.col("school")),
-        F.concat(F.lit("tags: "), F.array_join("tags", ", ")),
+        F.concat(F.lit("tags: "), F.array_join("tags", ",")),
         F.concat(F.lit("year: "), F.coalesce(F.col("year").cast("string"), F.lit(""))),
         F.concat(F.lit("hash: "), F.col("hash")),
     )
-    body = F.concat(F.regexp_replace("content", r"(?U)\s+$", ""), F.lit("\n"))
-    return df.where("status = 'ok'").select("path", F.concat_ws("\n", F.lit("[TITLE]"), "title", F.lit(""), F.lit("[URL]"), "url", F.lit(""), meta, F.lit(""), F.lit("---"), F.lit(""), body).alias("value"))
+    lines = [F.lit("[TITLE]"), F.col("title"), F.lit(""), F.lit("[URL]"), F.col("url"), F.lit("")] if "meta" in steps else []
+    lines += [meta, F.lit("")] if "metadata" in steps or "dedup" in steps else []
+    lines += [F.lit("---"), F.lit("")] if lines else []
+    text = F.concat(F.regexp_replace(F.concat_ws("\n", *lines, "content"), r"(?U)[\s\x1c-\x1f]+$", ""), F.lit("\n"))
+    return df.where("status = 'ok'").select("path", text.alias("value"))
 
 
 def chunk_rows(docs: DataFrame, content: str, keep: list[str], size: int = T.CHUNK, overlap: int = T.OVERLAP) -> DataFrame:

@@ -52,6 +52,13 @@ def vector_search(docs: DataFrame, query: list[float], key: str, vector: str = "
     return all_tags(top, tags).drop(vector)
 
 
+def overfetched(docs: DataFrame, query: list[float], key: str, vector: str = "embedding", limit: int = LIMIT, threshold: float | None = THRESHOLD, school: str | None = None, tags: list[str] | None = None, year: int | None = None) -> DataFrame:
+    """``vector_search`` for stores that can't filter first: five times as many rows, then the filters, then the limit."""
+    top = vector_search(docs, query, key, vector, limit * 5, None)
+    top = prefilter(top, school, tags, year).orderBy(F.desc("score"), key).limit(limit)
+    return all_tags(top if threshold is None else top.where(F.col("score") >= threshold), tags)
+
+
 def text_search(docs: DataFrame, program: str, key: str, content: str = "content", limit: int = TEXT_LIMIT, score: float = TEXT_SCORE) -> DataFrame:
     """The first ``limit`` rows by key whose text matches the pattern ``program`` in any case, under a constant score."""
     hits = docs.where(F.col(content).rlike(f"(?iu){program}")).orderBy(key).limit(limit)

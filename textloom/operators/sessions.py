@@ -46,5 +46,10 @@ def sticky(messages: DataFrame, session: str, order: str, found: str) -> DataFra
     return messages.withColumn("sticky", F.last(found, ignorenulls=True).over(past))
 
 
+def cleared(messages: DataFrame, session: str, name) -> DataFrame:
+    """The messages without those of one session."""
+    return messages.where(~F.col(session).eqNullSafe(name))
+
+
 def summary(messages: DataFrame, session: str) -> DataFrame:
     return messages.groupBy(session).agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("role").alias("roles"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dictionaries as d
 from textloom.functions import queries as Q
-from textloom.functions.fuzzy import intent
+from textloom.functions.fuzzy import intent, nearest_program
 from textloom.operators import retrieve
 
 
@@ -45,9 +45,10 @@ def read_question(spark: SparkSession, message: str, sticky_school: str | None =
     m, q = F.lit(message), Q.boosted(F.lit(message))
     row = spark.range(1).select(
         intent(Q.squash(m)).alias("intent"), Q.school_of(m).alias("school"), Q.is_school_selection(m).alias("chosen"), q.alias("text"),
-        Q.program_of(m).alias("program"), Q.query_tags(q).alias("tags"), Q.query_year(q).alias("year"), Q.search_limit(m).alias("limit"), Q.is_score_query(m).alias("about_scores"),
+        Q.program_of(m).alias("named"), nearest_program(m).alias("program"), Q.query_tags(q).alias("tags"), Q.query_year(q).alias("year"), Q.search_limit(m).alias("limit"), Q.is_score_query(m).alias("about_scores"),
     ).first()
-    return Question(**row.asDict() | {"school": row.school or sticky_school, "tags": list(row.tags)})
+    found = row.asDict()
+    return Question(**found | {"program": found.pop("named") or row.program, "school": row.school or sticky_school, "tags": list(row.tags)})
 
 
 def answer_context(

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[int, str] = {}
+_kept: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary folder of our own."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a session on one machine gets a temporary folder; on a
+    cluster that is an error, as executors would not see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = _fallback.setdefault(0, "file://" + tempfile.mkdtemp(prefix="textloom-"))
     return at.rstrip("/")
 
@@ -29,14 +35,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _kept[path] = spark
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete the files of ``stored`` tables that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.stored_at, df.sparkSession)
+
+
+def _delete(at: str, spark: SparkSession) -> None:
+    _kept.pop(at, None)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes what was ``stored`` inside, at the end: around a query and the writing of its result."""
+    before = set(_kept)
+    try:
+        yield
+    finally:
+        for at in _kept.keys() - before:
+            _delete(at, _kept[at])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,10 +8,12 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textloom.functions.links import content_type
 from textloom.operators.crawl import link_rows
 
 
@@ -23,8 +25,21 @@ def text_files(spark: SparkSession, root: str, pattern: str = "*.{md,txt}", recu
     return rows.select(path.alias("path"), "value").where(~F.col("path").rlike(r"(^|/)(\.|__pycache__/)"))
 
 
-def one_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.lit(path.rsplit("/", 1)[-1]).alias("path"), "value")
+def one_file(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, dict]:
+    """The file ``name`` (path, value) of a folder, and the run's report: without the file no rows, and an error counted."""
+    rows = text_files(spark, root, name.rsplit("/", 1)[-1]).where(F.col("path") == name)
+    found = not rows.isEmpty()
+    return rows, {"ok": found, "stats": {"ok": 0, "dup": 0, "err": 0 if found else 1}}
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A state table, empty where none was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def link_files(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
@@ -79,7 +94,7 @@ def pdf_text(blob: bytes) -> str | None:
     return "\n\n".join(p.get_text() for p in fitz.open(stream=blob, filetype="pdf"))
 
 
-EXTRACTORS = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
+EXTRACTORS = {"docx": docx_text, "doc": docx_text, "xlsx": xlsx_text, "xls": xlsx_text, "pdf": pdf_text}
 
 
 @F.pandas_udf(StringType())
@@ -93,3 +108,9 @@ def extracted(content: pd.Series, kind: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(b, k) for b, k in zip(content, kind, strict=True)], dtype=object)
+
+
+def attachments(files: DataFrame) -> DataFrame:
+    """url, type, text of fetched files (url, content): the text by a reader where the type has one."""
+    kind = content_type("url")
+    return files.select("url", kind.alias("type"), extracted("content", kind).alias("text"))

@@ -6,13 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import dictionaries as d
 from textloom.functions import links as L
 from textloom.functions import queries as Q
 from textloom.functions import text as T
 from textloom.functions.fuzzy import intent, nearest_program
 from textloom.functions.html import html_to_text, unescape
-from textloom.functions.ocr import markdown_rows, merged_cells, token_rows
-from textloom.functions.tables import row_records, tables_to_text
+from textloom.functions.tables import tables_to_text
 from textloom.operators import corpus, crawl, records, retrieve, sessions
 from textloom.shared import shared_path, table
 from textloom.streaming.sessions import histories
@@ -146,13 +146,35 @@ def footer_cut(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.cut_footer(T.split_lines("text"), MARKERS), "|").alias("text"))
 
 
-@query()
+_NAV = r"^[*+-]\s*(\[.+\]\(.+\)|.{0,50})\s*$"
+_EDGE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_BARE = f"list_transform(ls, lambda x: {_EDGE.format('x')})"
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _content(source: str, markers, junk) -> str:
+    """Tables l to k of the cleaned lines of (doc_id, text); the result is k with the lines ``ls``."""
+    return f"""l as (select doc_id, {_LINES} as ls from {source}),
+b as (select *, {_BARE} as bs from l), n as (select *, list_transform(bs, lambda x: regexp_matches(x, '{_NAV}')) as nav from b),
+e as (select *, list_transform(range(1, len(ls) + 1), lambda i: coalesce(list_min(list_filter(range(i + 1, len(ls) + 1), lambda j: not nav[j] and bs[j] <> '')), len(ls) + 1)) as stop from (select * replace (ls[1:200] as ls) from n)),
+s as (select doc_id, stop, list_min(list_filter(range(1, least(25, len(ls)) + 1), lambda i: nav[i] and len(list_filter(range(i, stop[i]), lambda j: nav[j])) >= 5)) as start from e),
+d as (select n.doc_id, case when start is null then ls else list_concat(ls[1:start - 1], ls[stop[start]:]) end as ls from n join s using (doc_id)),
+c as (select *, list_min(list_filter(range(1, len(ls) + 1), lambda i: i > floor(len(ls) * 0.7) and len(list_filter({_listed(markers)}, lambda m: contains(ls[i], m))) > 0)) as cut from d),
+k as (select doc_id, list_filter(case when cut is null then ls else ls[1:cut - 1] end, lambda x: {_EDGE.format('x')} <> '' and not list_contains({_listed(junk)}, lower({_EDGE.format("regexp_replace(" + _EDGE.format('x') + ", '^[*+-]\\s*', '')")}))) as ls from c)"""
+
+
+@query(f"""with l as (select doc_id, {_LINES} as ls from documents),
+k as (select doc_id, ls, list_min(list_filter(range(1, len(ls) + 1), lambda i: {_EDGE.format('ls[i]')} <> '' and not regexp_matches({_EDGE.format('ls[i]')}, '{_NAV}'))) as first from l)
+select doc_id, case when first is null then '' else array_to_string(ls[first:], chr(10)) end as text from k""")
 def nav_block(spark, sf_dir):
     menu = F.concat(F.lit("* [a](b)\n* c\n\n+ d\n- e\n* f\n"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.drop_nav_block(T.split_lines(menu)), "\n").alias("text"))
 
 
-@query()
+@query(f"with {_content('documents', MARKERS, JUNK)} select doc_id, {_EDGE.format('array_to_string(ls, chr(10))')} as text from k")
 def clean_content(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_content("text", MARKERS, JUNK).alias("text"))
 
@@ -165,7 +187,7 @@ def clean_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_markup("html").alias("text"))
 
 
-@query()
+@query(_CLEAN.replace("replace(html, chr(160), ' ')", "replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&'), chr(160), ' ')"))
 def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_markup(unescape("html")).alias("text"))
 
@@ -292,16 +314,10 @@ def enrich_recency(spark, sf_dir):
 
 @query()
 def question_boost(spark, sf_dir):
-    docs = _fused(spark, sf_dir).withColumn("questions", F.array(F.substring("content", 1, 40)))
+    docs = _fused(spark, sf_dir).withColumn("questions", F.split("content", r"(?<=[.!?])\s+"))
     return retrieve.boost_by_questions(docs, "the anhaat edonor").select("doc_id", "pos", "boosted")
 
 
-@query()
-def retrieve_fused(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumns({"content": F.col("vec_id").cast("string"), "school": F.lit("s/"), "tags": F.array(F.lit("t"))})
-    return retrieve.retrieve(rows, _vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1), "vec_id", "s", ["t"], program="^1").select("vec_id", "pos", F.round("score", 6).alias("score"), "is_text_match")
-
-
 @query("select conv_id, turn, role, text from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 5")
 def history_last5(spark, sf_dir):
     return sessions.last_messages(table(spark, sf_dir, "conversations"), "conv_id", "turn")
@@ -391,9 +407,9 @@ def page_links(spark, sf_dir):
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query()
+@query("select page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || '/files/' || page_id || '.PDF' as link from pages")
 def file_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(L.file_links("url", "html", [".html", ".pdf"])).alias("link"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(L.file_links("url", F.concat("html", F.lit("<a href='/files/"), "page_id", F.lit(".PDF?v=1#top'>f</a>")))).alias("link"))
 
 
 @query()
@@ -406,7 +422,12 @@ def accent_fold(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.fold_accents("text").alias("text"))
 
 
-@query()
+_SQUASHED = r"""with c as (select conv_id, turn, string_split(replace(replace(strip_accents(lower(text)), 'đ', 'd'), 'Đ', 'd'), '') as c from conversations),
+k as (select conv_id, turn, list_filter(c, lambda x, i: i = 1 or c[i - 1] <> x or x = chr(10) or not ((i > 2 and c[i - 2] = x) or (i < len(c) and c[i + 1] = x))) as c from c)
+select conv_id, turn, regexp_replace(regexp_replace(array_to_string(c, ''), '\s+', ' ', 'g'), '^ +| +$', '', 'g') as text from k"""
+
+
+@query(_SQUASHED)
 def squash_repeats(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.squash("text").alias("text"))
 
@@ -431,7 +452,28 @@ def detect_program(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("t", plain).select("conv_id", "turn", Q.program_of("t", [("tion", "T"), ("of", "O")]).alias("program"))
 
 
-@query()
+_FOLD = "translate(lower(trim({}, ' ' || chr(10))), '" + Q._FROM + "', '" + Q._TO + "')"
+
+
+def _fold(word: str) -> str:
+    return word.lower().translate(str.maketrans(Q._FROM, Q._TO))
+
+
+def _schools() -> str:
+    """The SQL form of ``school_of`` over a folded text f and its words w."""
+    words = [(i, [_fold(w) for w in ws]) for i, _, ws in d.SCHOOLS]
+    whens = [f"when len(list_filter({_listed(ws)}, lambda x: contains(f, x))) > 0 then '{i}'" for i, ws in words]
+    whens += [f"when list_has_any(w, {_listed(sorted({p for x in ws for p in x.split()}))}) then '{i}'" for i, ws in words]
+    return f"case {' '.join(whens)} end"
+
+
+_ASKED = f"""with a as (select conv_id, turn, ['Học viện PTIT', 'bách khoa ơi', 'hello', 'NEU!'][turn % 4 + 1] || ' ' || text as t from conversations),
+f as (select *, {_FOLD.format('t')} as f, regexp_replace(lower({_EDGE.format('t')}), '[!.,?]+$', '') as q from a),
+w as (select *, regexp_split_to_array(f, '\\s+') as w, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') as qw from f), s as (select *, {_schools()} as school from w)
+select conv_id, turn, school, school is not null and len(qw) <= 5 and len(list_filter(qw, lambda x: not list_contains({_listed(d.SELECTION_FILLERS)}, x))) <= 3 and len(list_filter({_listed(d.QUESTION_PHRASES)}, lambda p: contains(q, p))) = 0 as chosen from s"""
+
+
+@query(_ASKED)
 def detect_school(spark, sf_dir):
     asked = F.concat(F.get(F.array(*[F.lit(x) for x in ("Học viện PTIT", "bách khoa ơi", "hello", "NEU!")]), (F.col("turn") % 4).cast("int")), F.lit(" "), "text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.school_of(asked).alias("school"), Q.is_school_selection(asked).alias("chosen"))
@@ -442,22 +484,13 @@ def message_intent(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent(Q.squash("text")).alias("intent"), nearest_program("text").alias("program"))
 
 
-@query()
+@query("select doc_id, 'intro' || chr(10) || 'a: ' || source || ', b: ' || lang || chr(10) || 'a: không có dữ liệu, b: ' || doc_id || chr(10) || chr(10) || 'end ' || text as text from documents")
 def table_to_text(spark, sf_dir):
     rows = F.concat(F.lit("intro\n| a | b |\n|---|---|\n| "), "source", F.lit(" | "), "lang", F.lit(" |\n| x | "), "doc_id", F.lit(" |\nend "), "text")
     return table(spark, sf_dir, "documents").select("doc_id", tables_to_text(rows).alias("text"))
 
 
-@query()
-def ocr_rows(spark, sf_dir):
-    token = lambda cy, cx, text: F.struct(F.lit(float(cy)).alias("cy"), F.lit(float(cx)).alias("cx"), F.lit(10.0).alias("h"), text.alias("text"))
-    code = F.lpad((F.col("page_id") % 1000).cast("string"), 7, "7")
-    tokens = F.array(token(100, 10, code), token(104, 100, F.lit("25,5")), token(99, 200, F.lit("x")), token(300, 10, F.lit("other")), token(301, 24, F.lit("row")))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(token_rows(tokens, F.lit(1000.0))).alias("row")).select("page_id", merged_cells("row").alias("cells"))
-    return rows.withColumn("r", row_records("cells")).select("page_id", F.array_join("cells", "|").alias("cells"), markdown_rows("r").alias("table"))
-
-
-@query()
+@query("select event_type as source_id, 'http://x/' || event_id as url, 'a/b' as category from events")
 def flatten_links(spark, sf_dir):
     value = F.concat(F.lit('{"a":{"b":["http://x/'), "event_id", F.lit('", "no"]},"c":"http://bare"}'))
     files = table(spark, sf_dir, "events").select(F.concat(F.lit("d/"), "event_type", F.lit(".json")).alias("path"), value.alias("value"))

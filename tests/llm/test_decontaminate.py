@@ -1,8 +1,9 @@
 import re
+from itertools import combinations
 
 import pytest
 
-from textloom.llm.decontaminate import contaminated, decontaminated
+from textloom.llm.decontaminate import LEAST, MASKS, WHOLE, WINDOW, contaminated, decontaminated
 from textloom.shared import table
 
 DOCS = "doc_id long, text string, item_id long, w string"
@@ -39,7 +40,7 @@ def test_passages(spark):
     assert got == {(0, 1, 50), (1, 1, 5), (5, 1, 0), (7, 2, 0)}
     kept = decontaminated(docs(spark), items(spark))
     assert kept.columns == ["doc_id", "text", "item_id", "w"]
-    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 2), (False, 3), (False, 4), (False, 6), (False, 8), (True, None)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 2), (False, 3), (False, 4), (False, 6), (False, 8)]  # the row without an id has the passage as well
 
 
 def test_empty(spark):
@@ -67,3 +68,25 @@ def test_against_every_shift(spark, least, window):
                 if any(sum(s <= i < s + window for i in hit) >= least for s in hit):
                     want.add((doc.doc_id, item.item_id))
     assert {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()} == want and want
+
+
+def lost(n):
+    """Ways to replace as many of ``n`` words as are allowed that leave no mask a seed."""
+    picked = [sum(1 << j for j, c in enumerate(m) if c == "1") << k for m in MASKS for k in range(n - len(m) + 1)]
+    ways = [sum(1 << x for x in c) for c in combinations(range(n), n * (WINDOW - LEAST) // WINDOW if n >= WHOLE else 0)]
+    return sum(all(w & p for p in picked) for w in ways), len(ways)
+
+
+def test_masks_lose_no_substitution():
+    assert lost(WINDOW) == (0, 4845)
+    assert {n: lost(n)[0] for n in range(min(map(len, MASKS)), WINDOW) if lost(n)[0]} == {10: 8, 11: 3, 12: 1, 15: 9, 16: 2}
+
+
+@pytest.mark.parametrize("block", [1, 40, 10**6])
+def test_blocks_and_shuffles_agree(spark, block):
+    short = spark.createDataFrame([(4, "nine words"), (5, "Only nine -- words STANDS right"), (6, "no such words here"), (7, "... !")], "item_id long, text string")
+    both = items(spark).union(short)
+    got = {(r.doc_id, r.item_id, r.shift, r.matched) for r in contaminated(docs(spark), both, block=block).collect()}
+    assert got == {(0, 1, 50, 24), (1, 1, 5, 21), (5, 1, 0, 24), (7, 2, 0, 9), (7, 4, 4, 2), (7, 5, 3, 5)}
+    kept = decontaminated(docs(spark).selectExpr("*", "1 as key", "2 as shift"), both, block=block)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6, 8] and kept.columns == ["doc_id", "text", "item_id", "w", "key", "shift"]

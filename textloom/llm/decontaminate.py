@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from textloom.shared import stored
 
-MASKS = ("110110101", "101011011")
+# Of all ways to replace 4 of 20 words none leaves these without a seed (tests go through them all).
+MASKS = ("1111011", "110010111", "11011101")
 WINDOW, LEAST = 20, 16
+WHOLE = 10
 BLOCK_SEEDS = 1_000_000
+BLOCKS = 4
 BLOCK_ROWS = 1_000_000
 
 
@@ -22,14 +25,14 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(hashes: Column, masks: tuple[str, ...]) -> Column:
-    """Hash of the picked words at each position, for one mask after another."""
-    made = []
-    for i, mask in enumerate(masks):
-        picked = [j for j, c in enumerate(mask) if c == "1"]
-        span = len(mask)
-        at = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span)).otherwise(F.array().cast("array<int>"))
-        made.append(F.transform(at, _seed_at(hashes, i, picked)))
+def _seeds(hashes: Column, masks: tuple[str, ...], whole: list[int], items: bool) -> Column:
+    """Hash of the picked words at each position, for one mask after another; then of ``whole`` numbers of words in a row, in
+    items only of all their words."""
+    made, n = [], F.size(hashes)
+    for i, (span, picked) in enumerate([(len(m), [j for j, c in enumerate(m) if c == "1"]) for m in masks] + [(n_words, list(range(n_words))) for n_words in whole]):
+        fits = n == span if items and i >= len(masks) else n >= span
+        at = F.when(fits, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
+        made.append(F.transform(at, _seed_at(hashes, i if i < len(masks) else -span, picked)))
     return F.concat(*made)
 
 
@@ -37,21 +40,27 @@ def _seed_at(hashes: Column, mask: int, picked: list[int]):
     return lambda k: F.struct(k.alias("at"), F.xxhash64(F.lit(mask), *[hashes[k + j] for j in picked]).alias("seed"))
 
 
-def seeds(table: DataFrame, key: str, text: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def seeds(table: DataFrame, key: str, text: str, masks: tuple[str, ...] = MASKS, whole: list[int] = [], items: bool = False) -> DataFrame:  # noqa: B006
     hashed = table.select(key, F.transform(words(text), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.select(key, F.explode(_seeds(F.col("h"), masks)).alias("s")).select(key, "s.seed", "s.at")
-
-
-def _hits(docs: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """doc_id, item_id, shift of every seed that a document shares with an item.
-
-    The benchmark's seeds are broadcast in blocks of ``BLOCK_SEEDS`` at most, each against all documents."""
-    known = stored(seeds(items, "item_id", "text", masks), "seeds")
-    blocks = max(1, -(-known.count() // BLOCK_SEEDS) * 2 if known.count() > BLOCK_SEEDS else 1)
-    of_docs, found = seeds(docs, "doc_id", "text", masks), None
+    return hashed.select(key, F.explode(_seeds(F.col("h"), masks, whole, items)).alias("s")).select(key, "s.seed", "s.at")
+
+
+def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...], block: int) -> DataFrame:
+    """key, item_id, shift of every seed that a text shares with an item.
+
+    The benchmark's seeds are broadcast in blocks of about ``block``, each against all texts; beyond ``BLOCKS`` of those both
+    sides are shuffled instead, as making the texts' seeds time and again costs more than to move them once."""
+    short = F.size(words("text"))
+    whole = sorted(r.n for r in items.select(short.alias("n")).where((F.col("n") > 0) & (F.col("n") < min(map(len, masks)))).distinct().collect())  # few numbers
+    known = stored(seeds(items, "item_id", "text", masks, whole, items=True).withColumnRenamed("at", "item_at"), "seeds")
+    n, of_texts = known.count(), seeds(texts, "key", "text", masks, whole)
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    if n > block * BLOCKS:
+        return of_texts.join(known, "seed").select("key", "item_id", shift).distinct()
+    blocks, found = 1 if n <= block else 2 * -(-n // block), None
     for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("item_id", "at", F.lit(7)), F.lit(blocks)) == b).withColumnRenamed("at", "item_at")
-        hits = of_docs.join(F.broadcast(block), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        part = known.where(F.pmod(F.xxhash64("item_id", "item_at", F.lit(7)), F.lit(blocks)) == b)
+        hits = of_texts.join(F.broadcast(part), "seed").select("key", "item_id", shift)
         found = hits if found is None else found.union(hits)
     return found.distinct()
 
@@ -62,34 +71,49 @@ def _windows(flags: Column, n: Column, window: int) -> Column:
     return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(flags, s, window), F.lit(0), lambda a, x: a + x)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """doc_id, item_id, shift, matched, item_words of each document and item that share a passage: at one shift, ``least``
-    of ``window`` words in a row agree; an item of fewer words has to be there whole, with the same share of its words.
-
-    One row for each pair, the shift with the most matches (then the smallest). Null texts and texts of fewer words than a
-    mask is wide share nothing, nor do rows with a null id. Rows that repeat add no result. Other columns are left out;
-    where a table is empty there are no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def _shared(texts: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], window: int, least: int, block: int) -> DataFrame:
+    """key, item_id, shift, matched, item_words of the passages that ``texts`` (key, text) share with the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
     of_items = stored(items.select("item_id", words("text").alias("item")), "items")
-    hits = stored(_hits(docs, items, masks), "hits")
+    hits = stored(_hits(texts, items, masks, block), "hits")
     lengths = of_items.groupBy("item_id").agg(F.max(F.size("item")).alias("n"))
-    per_doc = hits.join(lengths, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "n")).alias("hits"))
-    per_doc = F.broadcast(per_doc) if hits.count() <= BLOCK_ROWS else per_doc
-    held = docs.join(per_doc, "doc_id").select("doc_id", "hits", words("text").alias("w"))
+    per_text = hits.join(lengths, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", "n")).alias("hits"))
+    per_text = F.broadcast(per_text) if hits.count() <= BLOCK_ROWS else per_text
+    held = texts.join(per_text, "key").select("key", "hits", words("text").alias("w"))
     piece = lambda h: F.slice(F.col("w"), F.greatest(h["shift"], F.lit(0)) + 1, h["n"])
-    cut = held.select("doc_id", F.explode(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["shift"].alias("shift"), piece(h).alias("w")))).alias("c")).select("doc_id", "c.*")
+    cut = held.select("key", F.explode(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["shift"].alias("shift"), piece(h).alias("w")))).alias("c")).select("key", "c.*")
     aligned = cut.join(of_items, "item_id").withColumn("part", F.expr("slice(item, greatest(-shift, 0) + 1, size(w))"))
     n = F.least(F.size("w"), F.size("part"))
     flags = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.col("w")[i] == F.col("part")[i]).cast("int"))
-    judged = aligned.where(n > 0).select("doc_id", "item_id", "shift", flags.alias("flags"), n.alias("n"), F.size("item").alias("item_words"))
+    judged = aligned.where(n > 0).select("key", "item_id", "shift", flags.alias("flags"), n.alias("n"), F.size("item").alias("item_words"))
     judged = judged.select("*", _windows(F.col("flags"), F.col("n"), window).alias("best"), F.expr("aggregate(flags, 0, (a, x) -> a + x)").alias("matched"))
-    short = (F.col("item_words") < window) & (F.col("n") == F.col("item_words")) & (F.col("matched") * window >= F.col("item_words") * least)
+    enough = F.when(F.col("item_words") < WHOLE, F.col("matched") == F.col("item_words")).otherwise(F.col("matched") * window >= F.col("item_words") * least)
+    short = (F.col("item_words") < window) & (F.col("n") == F.col("item_words")) & enough
     kept = judged.where(((F.col("n") >= window) & (F.col("best") >= least)) | short)
     order = F.struct(F.col("matched"), -F.col("shift"))
-    return kept.groupBy("doc_id", "item_id").agg(F.max_by("shift", order).alias("shift"), F.max("matched").cast("long").alias("matched"), F.max("item_words").cast("long").alias("item_words"))
+    return kept.groupBy("key", "item_id").agg(F.max_by("shift", order).alias("shift"), F.max("matched").cast("long").alias("matched"), F.max("item_words").cast("long").alias("item_words"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that share no passage with the benchmark."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, least: int = LEAST, block: int = BLOCK_SEEDS) -> DataFrame:
+    """doc_id, item_id, shift, matched, item_words of each document and item that share a passage: at one shift, ``least``
+    of ``window`` words in a row agree; an item of fewer words has to be there whole, with the same share of its words, and
+    one of fewer than ``WHOLE`` words word for word.
+
+    One row for each pair, the shift with the most matches (then the smallest). No substitution pattern in 20 words is lost,
+    and for shorter items only 23 of the patterns in 10, 11, 12, 15 and 16 words. Null and empty texts share nothing, and rows
+    with a null id have no name to be reported under. Very long texts are read whole. Rows that repeat add no result. Other
+    columns are left out, whatever their names; where a table is empty there are no rows."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text").where("key is not null")
+    return _shared(texts, benchmark, masks, window, least, block).withColumnRenamed("key", "doc_id")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, least: int = LEAST, block: int = BLOCK_SEEDS) -> DataFrame:
+    """The rows of ``docs``, all columns, whatever their names, that share no passage with the benchmark.
+
+    A row is judged by its own text, known by two 64-bit hashes, so rows with a null id or one that others have are as any.
+    Null and empty texts stay; very long texts, repeated rows and empty tables are as for ``contaminated``."""
+    name = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    bad = stored(_shared(docs.select(name(text).alias("key"), text.alias("text")), benchmark, masks, window, least, block).select("key").distinct(), "bad")
+    bad = F.broadcast(bad) if bad.count() <= BLOCK_ROWS else bad
+    return docs.join(bad, name(text) == bad["key"], "left_anti")

@@ -209,8 +209,9 @@ def _starts(length: int):
 
 
 def _repeated(rows: DataFrame, by: str) -> DataFrame:
-    """Values of ``by`` that stand for two suffixes or more."""
-    return rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.sum("n").alias("members")).where("members > 1").select(by)
+    """Values of ``by`` that stand for two suffixes or more; written, as a join where they are counted would hold a common
+    value's rows in one task."""
+    return stored(rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.sum("n").alias("members")).where("members > 1").select(by), "repeated")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
@@ -218,14 +219,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> D
 
     Spans of a row may overlap, and together cover exactly those bytes. Rows that share ``row`` must have the same text."""
     suffixes = stored(docs.mapInArrow(_suffixes(length, span), SUFFIXES), "suffixes")
-    shared = suffixes.groupBy("near").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("near")
+    shared = _repeated(suffixes.select("near", F.lit(1).alias("n")), "near")
     bucketed = stored(suffixes.join(shared, "near"), "buckets")
-    discard(suffixes)
+    discard(suffixes, shared)
     kinds = stored(bucketed.groupBy("near", "wide").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one")), "kinds")
     whole = bucketed.join(kinds.where("n > 1").select("near", "wide"), ["near", "wide"])
     covers = whole.select("row", (F.col("at") - span + 1).alias("lo"), (F.col("at") + length).alias("hi"))
 
     mixed = kinds.groupBy("near").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("near")
+    mixed = stored(mixed, "mixed")
     one = kinds.join(mixed, "near").select("one.*", F.when(F.col("n") > 1, 1).otherwise(0).cast("long").alias("more"))
     # A request in one number: place, whether others are like it, and how far before it its first and last start lie.
     packed = F.shiftleft("at", 24).bitwiseOR(F.shiftleft("more", 23)).bitwiseOR(F.shiftleft(F.col("at") - F.col("first"), 12)).bitwiseOR(F.col("at") - F.col("last"))

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import struct
+import time
 import zlib
 
 import pytest
@@ -48,3 +49,10 @@ def test_digest(spark):
         assert r.media_sha256 == hashlib.sha256(media.wav(payload)).hexdigest() and r.feature.startswith("wav;")
     assert rows[2][1:] == rows[6][1:] and len(rows) == 7
     assert media.media_digest(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_many_starts_without_an_end_take_one_pass():
+    signs, blob = media.automaton(), b"%PDF-" * 40_000 + b"startxref %%EOF"
+    began = time.monotonic()
+    assert len(media.sniff(blob, signs)) == 40_000 and media.sniff(blob[:-1], signs) == []
+    assert time.monotonic() - began < 2

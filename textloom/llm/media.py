@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -143,9 +144,13 @@ def _ogg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end > 0 and b"startxref" in b[at:end] else None
+def _pdf(at: int, marks: dict[str, list[int]]) -> int | None:
+    """Up to the first end mark that follows, if a reference to the cross references stands before it."""
+    end, start = bisect_left(marks["%%EOF"], at), bisect_left(marks["startxref"], at)
+    if end == len(marks["%%EOF"]) or start == len(marks["startxref"]):
+        return None
+    end = marks["%%EOF"][end]
+    return end + 5 if marks["startxref"][start] < end else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -175,23 +180,30 @@ def _mp4(b: bytes, at: int) -> int | None:
     return pos if {b"ftyp", b"mdat"} <= tags or {b"ftyp", b"moov"} <= tags else None
 
 
-VALIDATORS = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "flac": _flac, "ogg": _ogg, "pdf": _pdf, "gzip": _gzip, "mp4": _mp4}
+VALIDATORS = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "flac": _flac, "ogg": _ogg, "gzip": _gzip, "mp4": _mp4}
+MARKS = ("%%EOF", "startxref")  # of PDF files, found in the same pass as the magic numbers
 
 
 def automaton() -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
     for magic, (kind, offset) in MAGIC.items():
         made.add_word(magic.decode("latin-1"), (kind, len(magic) - 1 + offset))
+    for mark in MARKS:
+        made.add_word(mark, (mark, len(mark) - 1))
     made.make_automaton()
     return made
 
 
 def sniff(blob: bytes, signs: ahocorasick.Automaton) -> list[Found]:
     """Every span of ``blob`` whose structure holds, in order of start, those within others included."""
-    found = []
+    found, magic, marks = [], [], {m: [] for m in MARKS}
     for last, (kind, back) in signs.iter(blob.decode("latin-1")):
-        at = last - back
-        if at >= 0 and (end := VALIDATORS[kind](blob, at)):
+        if kind in marks:
+            marks[kind].append(last - back)
+        elif last >= back:
+            magic.append((kind, last - back))
+    for kind, at in magic:
+        if end := _pdf(at, marks) if kind == "pdf" else VALIDATORS[kind](blob, at):
             found.append(Found(kind, at, end))
     return sorted(found, key=lambda x: (x.start, -x.end))
 

@@ -50,3 +50,13 @@ def test_documents(spark):
         start += len(ids)
     assert got == want
     assert encode_documents(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_odd_letters_as_the_tokenizer_alone():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    letters = [*"aeiou xyz  ABC.,!?;:'-0123", "\u03a3", "\u03c3", "\u03c2", "\u0130", "\u0131", "\u00df", "\u1e9e", "\u0301", "\u0307", "\u01c5", "\u00e9", "\u0149", "\u4e2d", "\U0001f600", "\u00a0", "\u200b", "\n"]
+    texts = ["\u03a3 \u0130!", *("".join(rng.choice(letters, int(rng.integers(1, 24)))) for _ in range(100_000))]
+    plain = Tokenizer.from_file(tokenizer_path()).encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, p, got in zip(texts, plain, WordEncoder(tokenizer_path())(texts), strict=True) if p.ids != got.tolist()] == []

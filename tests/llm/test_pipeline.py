@@ -61,3 +61,25 @@ def test_stages_against_brute_force(spark):
         start += len(ids)
     assert sorted(map(tuple, last)) == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    prose = "a quiet river runs past the old mill where nobody has lived for many years now"
+    leak = "every single word of this passage stands in the benchmark as well and must go away"
+    rows = [(1, prose), (1, prose), (2, None), (3, ""), (None, leak), (None, None), (4, "long text " * 40_000), (5, "short"), (6, leak)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, row_0 string, score_0 double, key int, quality_score string, probability int, topic string, group int"
+    docs = spark.createDataFrame([(*r, None, None if i % 2 else "s", None, "x", 1.0, 1, "q", 2, "t", 3) for i, r in enumerate(rows)], fields)
+    spark.createDataFrame([(1, leak), (None, prose)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (_, quality_), (_, near), (_, clean), (_, mix), (_, tokens) = corpus_pipeline.STAGES
+    got = lambda stage, df: sorted(((r.doc_id, (r.text or "")[:9]) for r in stage(spark, df, str(tmp_path)).collect()), key=str)
+    want = lambda *ids: sorted(((r[0], (r[1] or "")[:9]) for i, r in enumerate(rows) if i in ids), key=str)
+    assert got(quality_, docs) == want(*range(9))
+    assert got(near, docs) == want(0, 2, 4, 5, 6, 7, 8)
+    assert got(clean, docs) == want(0, 1, 2, 3, 5, 6, 7)
+    kept = got(mix, docs)
+    assert set(kept) <= set(want(*range(9))) and set(want(2, 3, 5)) <= set(kept)
+    assert sorted((r.n_tokens for r in tokens(spark, docs, str(tmp_path)).collect()))[:3] == [1, 1, 1]
+    for stage in (quality_, near, clean, mix):
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert tokens(spark, docs.limit(0), str(tmp_path)).collect() == []

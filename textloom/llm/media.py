@@ -270,7 +270,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """Texts as WAV files in a binary column: doc_id, n_bytes, media. Null texts count as empty and hold one unit of blanks;
-    rows that repeat stay as many; other columns are left out."""
+    rows that repeat stay as many; very long texts are stored whole; other columns are left out, whatever their names."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 

@@ -74,7 +74,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     A null text counts as empty; without finds the counts are 0, spans is '' and the hash that of ''. Rows that repeat, and
-    rows with a null doc_id, each have their own result. Other columns are left out; an empty table gives no rows."""
+    rows with a null doc_id, each have their own result. Very long texts are read whole. Other columns are left out, whatever
+    their names; an empty table gives no rows."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = stored(texts.select("row", "doc_id", *[_found(k).alias(k) for k in PATTERNS]), "found")
     parts = stored(_parts(found), "parts")

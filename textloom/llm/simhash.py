@@ -189,7 +189,8 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id of the group) of every row of ``docs``.
 
     Null and texts without words have fingerprint zero, linked like any other. Rows with the same text share a fingerprint
-    and so a group; a null doc_id is kept and never the smallest. Other columns are left out; an empty table gives no rows."""
+    and so a group; a null doc_id is kept and never the smallest. Very long texts are read whole. Other columns are left out,
+    whatever their names; an empty table gives no rows."""
     rows = stored(fingerprints(docs), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     links = stored(near_links(distinct, radius), "links")

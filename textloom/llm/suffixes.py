@@ -297,7 +297,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, with
     Removed is each byte that a ``length``-byte string covers which also starts elsewhere in the given texts, the same
     document included. A null text counts as empty; texts shorter than ``length`` lose nothing. Rows that repeat are each
     other's copies, so all of their strings have a second start; a null doc_id is kept. A row is known by the 64-bit hash of its id
-    and text. Other columns are left out; an empty table gives no rows."""
+    and text. Very long texts are read whole, in strips. Other columns are left out, whatever their names; an empty table
+    gives no rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     spans = repeated_spans(texts.select("row", "text"), length, span)

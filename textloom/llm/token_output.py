@@ -134,7 +134,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """Write the ids of all ``docs`` (doc_id, text; other columns are ignored) to ``path`` in ascending doc_id order.
 
     A null text counts as empty, and an empty one gives the end id alone. A null doc_id comes first. Rows that share a
-    doc_id each have their own entry, in order of text. An empty table writes a table of no segments."""
+    doc_id each have their own entry, in order of text. Very long texts are encoded whole, in a segment of their own if they
+    fill one. An empty table writes a table of no segments."""
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, segment_ids), SEGMENTS).write.parquet(path)
 

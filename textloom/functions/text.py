@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions import dictionaries as d
 
@@ -198,40 +198,38 @@ def content_hash(c: Column | str) -> Column:
     return F.md5(F.regexp_replace(strip(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def chunks(c: Column | str, size: int = CHUNK, overlap: int = OVERLAP, tail: int = TAIL) -> Column:
-    """Overlapping chunks of whole lines: one ends once its lines come to ``size`` characters, the next starts with the
-    shortest run of its last lines that come to ``overlap``. A short last piece joins the chunk before; '' has no chunks."""
-    state = F.struct(
-        F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("lines"), F.lit(0).alias("n"), F.lit(0).alias("old")
-    )
-
-    def carried(lines: Column) -> Column:
-        zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"))
-        return F.aggregate(
-            F.reverse(lines),
-            zero,
-            lambda a, x: F.when(a["n"] >= overlap, a).otherwise(F.struct(F.concat(F.array(x), a["kept"]).alias("kept"), (a["n"] + F.length(x)).alias("n"))),
-        )
+def _chunked(text: str, size: int, overlap: int, tail: int) -> list[str]:
+    lines = text.splitlines()
+    out, start, new, total = [], 0, 0, 0  # lines from ``start`` on are held, those from ``new`` on are in no chunk yet
+    for i, line in enumerate(lines):
+        total += len(line)
+        if total < size:
+            continue
+        out.append("\n".join(lines[start : i + 1]))
+        held, start, new, total = start, i + 1, i + 1, 0
+        while total < overlap and start > held:
+            start -= 1
+            total += len(lines[start])
+    if new < len(lines):
+        rest = "\n".join(lines[start:])
+        if out and total <= tail:
+            out[-1] += "\n" + rest
+        else:
+            out.append(rest)
+    return out
 
-    def step(a: Column, line: Column) -> Column:
-        n = a["n"] + F.length(line)
-        lines = F.concat(a["lines"], F.array(line))
 
-        def full(ls: Column) -> Column:
-            done = F.concat(a["done"], F.array(F.array_join(ls, "\n")))
-            return bound(carried(ls), lambda k: F.struct(done.alias("done"), k["kept"].alias("lines"), k["n"].alias("n"), F.size(k["kept"]).alias("old")))
+def chunks(c: Column | str, size: int = CHUNK, overlap: int = OVERLAP, tail: int = TAIL) -> Column:
+    """Overlapping chunks of whole lines: one ends once its lines come to ``size`` characters, the next starts with the
+    shortest run of its last lines that come to ``overlap``. A short last piece joins the chunk before; '' has no chunks.
 
-        return F.when(n >= size, bound(lines, full)).otherwise(F.struct(a["done"].alias("done"), lines.alias("lines"), n.alias("n"), a["old"].alias("old")))
+    One pass over the lines of a batch of texts: as a fold over an array each line would copy the lines held so far."""
 
-    def finish(a: Column) -> Column:
-        rest = F.array_join(a["lines"], "\n")
-        fresh = F.size(a["lines"]) > a["old"]
-        last = F.element_at(a["done"], -1)
-        merged = F.concat(F.slice(a["done"], F.lit(1), F.size(a["done"]) - 1), F.array(F.concat(last, F.lit("\n"), rest)))
-        short = (a["n"] <= tail) & (F.size(a["done"]) > 0)
-        return F.when(~fresh, a["done"]).when(short, merged).otherwise(F.concat(a["done"], F.array(rest)))
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else _chunked(t, size, overlap, tail))
 
-    return F.aggregate(split_lines(c), state, step, finish)
+    return cut(col(c))
 
 
 def embedding_text(year: Column | str, content: Column | str) -> Column:

@@ -241,6 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> D
     covers = covers.union(full.select("row", (F.col("at") - (F.col("block") + 1) * BLOCK + 1).alias("lo"), (F.col("at") - F.col("block") * BLOCK + length).alias("hi")))
 
     doubtful = open_.join(full.distinct(), ["row", "at", "block"], "left_anti").join(_repeated(blocks, "shared"), "shared").select("shared").distinct()
+    doubtful = stored(doubtful, "doubtful")
     unsure = blocks.join(doubtful, "shared")  # with those already covered, whose strings are second starts to others
     unsure = unsure.groupBy("row", "at").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
     starts = contexts.join(unsure, ["row", "at"]).select("row", "at", "first", "last", "n", "lo", "context", "blocks")

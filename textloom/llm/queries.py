@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from textloom.llm import oracles
 from textloom.llm.decontaminate import contaminated
 from textloom.llm.media import media_digest
 from textloom.llm.mixing import mixing_weights
@@ -57,4 +58,4 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op7_repeated_passages, op8_token_ids, op9_suffix_dedup, op10_mixing)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}
+ORACLE_SQL = oracles.ORACLE_SQL | {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -70,7 +70,7 @@ def test_questions(spark):
     assert [tuple(x) for x in r] == [("a b", "a long enough text"), ("q", "q")]
     assert values(spark, ["4, 2 and 5, not 10"], Q.parse_scores("t")) == [[4, 2, 5]]
     assert values(spark, ["Quota exceeded", "403", "?"], Q.error_kind("t")) == ["quota", "key", "connection"]
-    assert [fuzzy.intent_of(x) for x in ("xin chao", "ok", "asdf", "hoc phi bao nhieu", "?", "dai hoc nao tot")] == ["GREETING", "CONFIRM", "NONSENSE", "UNKNOWN", "NONSENSE", "UNKNOWN"]
+    assert [fuzzy.intent_of(x) for x in ("xin chao", "ok", "asdf", "hoc phi bao nhieu", "?", "dai hoc nao tot", "?!?!", "co!", "(ok)...")] == ["GREETING", "CONFIRM", "NONSENSE", "UNKNOWN", "NONSENSE", "UNKNOWN", "NONSENSE", "CONFIRM", "CONFIRM"]
     assert fuzzy.ratio("abcd", "abxd") == 75 and fuzzy.partial_ratio("abc", "xxabcxx") == 100 and fuzzy.common("", "a") == 0
 
 

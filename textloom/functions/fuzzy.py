@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -28,12 +29,21 @@ def ratio(a: str, b: str) -> float:
     return 100.0 * 2 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter with a stretch of its length in the longer, stretches cut off at the ends included."""
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio of the shorter with a stretch of its length in the longer, stretches cut off at the ends included.
+
+    A result below ``least`` may be anything below it. A stretch has no more in common with the shorter string than a longer
+    one around it, so most of a long text is passed over in steps of the shorter string's length."""
     a, b = sorted((a, b), key=len)
     if not a:
         return 100.0 if not b else 0.0
-    return max(ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+    n, best = len(a), least - 1e-9
+    for start in range(1 - n, len(b), n):
+        around = b[max(0, start) : start + 2 * n - 1]
+        shortest = min(n, n + start if start < 0 else n, len(b) - min(len(b) - 1, start + n - 1))
+        if 200.0 * min(n, common(a, around)) / (n + shortest) > best:
+            best = max(best, *(ratio(a, b[max(0, i) : i + n]) for i in range(start, min(start + n, len(b)))))
+    return max(best, 0.0)
 
 
 def _sorted(s: str) -> str:
@@ -61,15 +71,26 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, part * partial_ratio(a, b), 0.95 * part * partial_ratio(_sorted(a), _sorted(b)), 0.95 * part * token_set(a, b, partial_ratio))
 
 
+def processed(s: str) -> str:
+    """As strings are compared: lower case, blanks for all but letters and digits, none at the ends."""
+    return re.sub(r"\W", " ", s).lower().strip()
+
+
 def intent_of(message: str) -> str:
     """UNKNOWN (a question), GREETING, CONFIRM or NONSENSE of a message whose accents are folded."""
     if any(h in message for h in d.QUESTION_HINTS):
         return "UNKNOWN"
     if len(message.strip()) <= 1:
         return "NONSENSE"
-    greeting = round(max(weighted_ratio(message, w) for w in d.GREETINGS))
-    confirm = round(max(ratio(message, w) for w in d.CONFIRMS))
-    nonsense = round(max(weighted_ratio(message, w) for w in d.NONSENSE))
+    said = processed(message)
+
+    def best(score: Callable[[str, str], float], words: list[str], longest: float) -> int:
+        """The best of the scores that may count; beyond ``longest`` times the other's length none comes near 80."""
+        near = [p for p in map(processed, words) if p and max(len(p), len(said)) <= longest * min(len(p), len(said))]
+        return round(max((score(said, p) for p in near), default=0))
+
+    greeting, nonsense = best(weighted_ratio, d.GREETINGS, 8), best(weighted_ratio, d.NONSENSE, 8)
+    confirm = best(ratio, d.CONFIRMS, 1.6)
     if greeting >= max(80, confirm, nonsense):
         return "GREETING"
     if confirm >= max(80, nonsense):
@@ -89,8 +110,11 @@ def partial_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def nearest(text: str, names: list[str], least: float = 70) -> str:
     """The name most like a part of the text, the first in order of equals; '' if none reaches ``least``."""
-    score, name = max(((partial_ratio(text, n), n) for n in sorted(names, reverse=True)), default=(0, ""))
-    return name if score >= least else ""
+    score, name = least, ""
+    for n in sorted(names):
+        if (like := partial_ratio(text, n, score)) >= score and (like > score or not name):
+            score, name = like, n
+    return name
 
 
 @F.pandas_udf(StringType())

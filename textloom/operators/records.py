@@ -43,6 +43,13 @@ def lookup(docs: DataFrame, key: str, value) -> DataFrame:
     return docs.where(F.col(key) == value)
 
 
+def found(docs: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """id, status, row for each ``asked`` (id, as text): 400 for what can be no key, 404 for what no row has, else 200."""
+    rows = docs.select(F.col(key).alias("_key"), F.struct(*docs.columns).alias("row"))
+    out = asked.select("id", F.col("id").try_cast(docs.schema[key].dataType).alias("_id")).join(rows, F.col("_id") == F.col("_key"), "left")
+    return out.select("id", F.when(F.col("_id").isNull(), 400).when(F.col("row").isNull(), 404).otherwise(200).alias("status"), "row")
+
+
 def update(docs: DataFrame, key: str, value, changes: dict) -> DataFrame:
     """Editable fields of a row changed to those given and not null; the embedding stays."""
     for name, new in changes.items():

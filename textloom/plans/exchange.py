@@ -124,6 +124,12 @@ def doc_lookup(spark, sf_dir):
     return records.lookup(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", 17)
 
 
+@query("select id, case when try_cast(id as bigint) is null then 400 when doc_id is null then 404 else 200 end as status, source from (values ('17'), ('no id'), ('-5'), ('3')) t(id) left join documents on doc_id = try_cast(id as bigint)")
+def doc_found(spark, sf_dir):
+    asked = spark.createDataFrame([("17",), ("no id",), ("-5",), ("3",)], "id string")
+    return records.found(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", asked).select("id", "status", "row.source")
+
+
 _SITES = "select 'http://' || source || '.org/a/' as base_url, 'http://' || source || '.org/a/' || (doc_id % 7) as url from documents"
 
 

@@ -93,7 +93,10 @@ def test_fingerprint_distance_tells_similarity():
     assert [set(x.tolist()) for x in proposals(first, second, rows, 0.8)] == [{7}, {3}]
 
 
-def test_one_row_of_each_group(spark):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_one_row_of_each_group(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(near_dedup, "BROADCAST_DROPS", broadcast)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", broadcast)
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     rows = [(1, a), (1, a), (2, a), (3, b), (4, b), (1, b), (5, "one two"), (7, "Three  four"), (7, "three four"), (None, "five"), (None, "five"), (None, None), (9, ""), (8, " \n"), (6, "long " * 60_000)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, row_0 string, group long")

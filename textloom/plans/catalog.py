@@ -514,7 +514,20 @@ def unseen_pages(spark, sf_dir):
     return corpus.unseen(table(spark, sf_dir, "pages").select("page_id"), state, "page_id")
 
 
-@query()
+def _keyword_tags() -> str:
+    whens = [f"case when len(list_filter({_listed(words)}, lambda w: contains(lower(t), w))) > 0 then '{tag}' end" for tag, words in d.DOCUMENT_TAGS]
+    return "[" + ", ".join(whens) + "]"
+
+
+_YEARS = r"list_filter(regexp_extract_all(t, '\b(20\d{2})\b', 1), lambda y: y::int between 2015 and 2030)"
+_NORMALIZED = f"""with {_content("(select doc_id, " + _EDGE.format('text') + " as text from documents)", d.FOOTERS, d.JUNK)},
+m as (select doc_id, lang, source, {_CLEAN[len("select page_id, "):_CLEAN.index(" as text from pages")].replace("html", "array_to_string(ls, chr(10))")} as t from k join documents using (doc_id)),
+f as (select *, source || '_' || doc_id || '.md' as file, md5(trim(regexp_replace(t, '\\s+', ' ', 'g'))) as hash, {_YEARS} as years, list_filter({_keyword_tags()}, lambda x: x is not null) as words from m)
+select lang || '/' || file as path, source as school, file as title, array_to_string(list_sort(list_distinct(list_concat(words, years, [lang]))), ',') as tags, list_max(years)::int as year, hash,
+case when file = first_value(file) over (partition by hash order by lang, file) then 'ok' else 'dup' end as status from f"""
+
+
+@query(_NORMALIZED)
 def normalize_corpus(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), "source", F.lit("_"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("value"))
     return corpus.normalize(docs).select("path", "school", "title", F.array_join("tags", ",").alias("tags"), "year", "hash", "status")

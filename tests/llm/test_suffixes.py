@@ -45,7 +45,9 @@ def test_against_all_strings(spark, length, span, seed):
     assert [tuple(r)[1:] for r in got] == plain(docs, length)
 
 
-def test_real_documents(spark):
+@pytest.mark.parametrize("broadcast", [4_000_000, 0])
+def test_real_documents(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(suffixes, "BROADCAST_VALUES", broadcast)
     rows = table(spark, "/root/testdata/sf0.001", "documents")
     docs = [r.text for r in rows.orderBy("doc_id").collect()]
     got = suffixes.remove_repeats(rows).orderBy("doc_id").collect()

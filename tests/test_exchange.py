@@ -1,6 +1,7 @@
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,19 @@ def test_score_table(spark):
     assert values(spark, ["x"], ocr.generic_table(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"))))) == ["a | b\nc"]
 
 
+def test_pictures_are_made_ready():
+    rng = np.random.default_rng(2)
+    flat = np.full((3, 2, 1), 77, np.uint8)
+    assert (ocr.ready(flat) == 77).all() and ocr.ready(flat).shape == (6, 4)
+    colors = rng.integers(100, 140, (20, 30, 3)).astype(np.uint8)
+    gray = np.round(colors @ np.array([0.114, 0.587, 0.299]))
+    strong = np.clip(2 * gray - round(gray.mean()), 0, 255)
+    got = ocr.ready(colors).astype(float)
+    assert got.shape == (40, 60) and abs(got.mean() - strong.mean()) < 1
+    middle = got.reshape(20, 2, 30, 2).mean((1, 3))  # four new pixels stand for an old one
+    assert np.corrcoef(middle.ravel(), strong.ravel())[0, 1] > 0.95
+
+
 def test_bare_letters(spark):
     said = ["Trường ĐẠI học", "Trường".encode().decode() + " ñ É", "ệ ệ", "aaa\n\n\nbbb", None, ""]
     assert values(spark, said, Q.squash("t")) == ["truong dai hoc", "truong n e", "e e", "a b", None, ""]

@@ -1,9 +1,13 @@
-"""Tokens of recognized text as rows of a table: folds over arrays of (cy, cx, h, text)."""
+"""Pictures made ready for recognition, and tokens of recognized text as rows of a table: folds over arrays of
+(cy, cx, h, text)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from textloom.functions.text import bound, col
 
@@ -11,6 +15,47 @@ ROW_GAP, JOIN_GAP = 0.020, 1.2
 TOKEN = "struct<cx:double,h:double,text:string>"
 
 
+PICTURE = StructType([*(StructField(n, IntegerType()) for n in ("height", "width", "nChannels", "mode")), StructField("data", BinaryType())])
+LOBES = 3
+
+
+def _doubled(rows: np.ndarray) -> np.ndarray:
+    """Rows of samples at twice the rate, by a windowed sinc of ``LOBES`` lobes; weights are scaled to one at the edges."""
+    n = rows.shape[1]
+    center = (np.arange(2 * n) + 0.5) / 2
+    taps = np.floor(center).astype(int)[:, None] + np.arange(-LOBES, LOBES + 1)
+    x = center[:, None] - (taps + 0.5)
+    weights = np.where((np.abs(x) < LOBES) & (taps >= 0) & (taps < n), np.sinc(x) * np.sinc(x / LOBES), 0)
+    weights = (weights / weights.sum(1, keepdims=True)).astype(np.float32)
+    out = np.zeros((len(rows), 2 * n), np.float32)
+    for k in range(taps.shape[1]):
+        out += rows[:, np.clip(taps[:, k], 0, n - 1)] * weights[:, k]
+    return out
+
+
+def ready(pixels: np.ndarray) -> np.ndarray:
+    """(height, width, channels) of blue, green, red, or of gray, as gray with twice the contrast and twice the size."""
+    p = pixels.astype(np.float32)
+    gray = np.round(p[..., 2] * 0.299 + p[..., 1] * 0.587 + p[..., 0] * 0.114) if p.shape[2] >= 3 else p[..., 0]
+    mean = np.floor(gray.mean() + 0.5)
+    gray = np.clip(2 * gray - mean, 0, 255)
+    return np.clip(np.round(_doubled(_doubled(gray).T).T), 0, 255).astype(np.uint8)
+
+
+@F.pandas_udf(PICTURE)
+def prepared(picture: pd.DataFrame) -> pd.DataFrame:
+    """Pictures as Spark's image source gives them, made ready for recognition; null where a picture couldn't be read."""
+    out = []
+    for h, w, n, data in zip(picture["height"], picture["width"], picture["nChannels"], picture["data"], strict=True):
+        if data is None or not h > 0 or not w > 0:
+            out.append((None, None, None, None, None))
+        else:
+            made = ready(np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(n)))
+            out.append((made.shape[0], made.shape[1], 1, 0, made.tobytes()))
+    made = pd.DataFrame(out, columns=["height", "width", "nChannels", "mode", "data"])
+    return made.astype({c: "Int32" for c in ("height", "width", "nChannels", "mode")})
+
+
 def token_rows(tokens: Column | str, height: Column | str, gap: float = ROW_GAP) -> Column:
     """Tokens from top to bottom, in rows: a token within ``gap`` of the picture's height of the row's running centre joins it
     and moves that centre half way. Within a row from left to right."""

@@ -249,6 +249,15 @@ def ocr_rows(spark, sf_dir):
     return rows.withColumn("r", crawl.table_records(F.array("cells"))).select("page_id", F.array_join("cells", "|").alias("cells"), ocr.markdown_rows("r").alias("table"))
 
 
+@query("select page_id, 4 as height, 6 as width, repeat(printf('%02X', page_id % 256), 24) as pixels from pages")
+def prepared_pictures(spark, sf_dir):
+    """Pictures of one color each, which neither contrast nor size changes."""
+    data = F.unhex(F.repeat(F.lpad(F.hex(F.col("page_id") % 256), 2, "0"), F.lit(18)))
+    picture = F.struct(F.lit(2).alias("height"), F.lit(3).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
+    made = table(spark, sf_dir, "pages").select("page_id", ocr.prepared(picture).alias("p"))
+    return made.select("page_id", "p.height", "p.width", F.hex("p.data").alias("pixels"))
+
+
 def _tokens():
     token = lambda cy, cx, text: F.struct(F.lit(float(cy)).alias("cy"), F.lit(float(cx)).alias("cx"), F.lit(10.0).alias("h"), text.alias("text"))
     code = F.lpad((F.col("page_id") % 1000).cast("string"), 7, "7")

@@ -23,7 +23,7 @@ from textloom.shared import shared_path
 
 END_ID = 2
 SEGMENT_IDS = 1 << 16
-CACHE_WORDS, CACHE_STEMS = 600_000, 1_000_000
+CACHE_WORDS = 600_000  # and five thirds as many stems
 MARKS = ".,!?;:"
 LETTERS = "\u0250"  # beyond the letters that all Unicode versions agree on
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
@@ -43,13 +43,14 @@ class WordEncoder:
     Texts with what the tokenizer may see across words (its special tokens, control characters that only Python takes
     for white space) go through the tokenizer as they are."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.cache = cache
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -70,9 +71,9 @@ class WordEncoder:
                 self.stems.update(zip(part, self._alone(part), strict=True))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.cache:
             self.words.clear()
-        if len(self.stems) > CACHE_STEMS:
+        if len(self.stems) > self.cache * 5 // 3:
             self.stems.clear()
         new = words.difference(self.words)
         cut = {w: w.rstrip(MARKS) for w in new}
@@ -93,20 +94,21 @@ class WordEncoder:
         ]
 
 
-def kept_encoder(path: str) -> WordEncoder:
+def kept_encoder(path: str, cache: int) -> WordEncoder:
     """The encoder of this Python worker, which later tasks find with the words it knows."""
     state = sys.modules.setdefault("textloom_worker_state", types.ModuleType("textloom_worker_state"))
     if path not in state.__dict__:
         state.__dict__[path] = WordEncoder(path)
+    state.__dict__[path].cache = cache
     return state.__dict__[path]
 
 
-def _pack(path: str, end_id: int, limit: int):
+def _pack(path: str, end_id: int, limit: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seq = kept_encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = kept_encoder(path, cache), TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[np.ndarray] = []
         total = 0
@@ -130,14 +132,14 @@ def _pack(path: str, end_id: int, limit: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, cache: int = CACHE_WORDS) -> None:
     """Write the ids of all ``docs`` (doc_id, text; other columns are ignored) to ``path`` in ascending doc_id order.
 
     A null text counts as empty, and an empty one gives the end id alone. A null doc_id comes first. Rows that share a
     doc_id each have their own entry, in order of text. Very long texts are encoded whole, in a segment of their own if they
     fill one. An empty table writes a table of no segments."""
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, segment_ids), SEGMENTS).write.parquet(path)
+    dealt.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, segment_ids, cache), SEGMENTS).write.parquet(path)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +167,9 @@ def read_tokens(spark, path: str) -> DataFrame:
     return docs.join(bases, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
-    """``write_tokens`` to ``path`` (by default in the shared folder), then ``read_tokens``."""
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, cache: int = CACHE_WORDS) -> DataFrame:
+    """``write_tokens`` to ``path`` (by default in the shared folder), then ``read_tokens``. ``cache`` bounds the words that a
+    Python worker keeps; fewer take less memory and more time."""
     path = path or shared_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer)
+    write_tokens(docs, path, tokenizer, cache=cache)
     return read_tokens(docs.sparkSession, path)

@@ -67,4 +67,17 @@ a as (select doc_id, sum(hi - lo + 1)::bigint as n_removed, count(*) as n_spans,
 k as (select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, hex(b) as x, list_concat([0], coalesce(his, [])) as f, list_append(coalesce(los, []), octet_length(b) + 1) as t from d left join a using (doc_id))
 select doc_id, n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(f) + 1), lambda j: substr(x, 2 * f[j] + 1, 2 * (t[j] - f[j] - 1))), ''))) as kept_sha256 from k"""
 
-ORACLE_SQL = {"op1_decontamination": OP1, "op5_secret_links": OP5, "op6_media_columns": OP6, "op9_suffix_dedup": OP9}
+# Every stretch of one to three words of a piece is grouped and counted.
+OP13 = r"""with t as (select row_number() over () as r, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from t)),
+n as (select lang, sum(len(w))::bigint as n from p group by lang),
+g as (select lang, unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) as w from p),
+f as (select lang, w, count(*) as f from g group by all having count(*) >= 10),
+c as (select lang, w, f as a, unnest(range(1, len(w))) as k from f where len(w) > 1),
+s as (select c.lang, c.w, a, k, x.f as l, y.f as r, (1000000 * a::hugeint * a) // (x.f::hugeint * y.f) as score from c join f x on x.lang = c.lang and x.w = c.w[1:k] join f y on y.lang = c.lang and y.w = c.w[k + 1:]),
+b as (select * from s qualify row_number() over (partition by lang, w order by score, k) = 1),
+m as (select lang, w, max(f) as most from (select lang, w[1:2] as w, f from f where len(w) = 3 union all select lang, w[2:3], f from f where len(w) = 3) group by all),
+k as (select lang, array_to_string(w, ' ') as phrase, a, l, r, score::bigint as score from b left join m using (lang, w) where most is null or 100 * most < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from k join n using (lang) qualify rank <= 2000"""
+
+ORACLE_SQL = {"op1_decontamination": OP1, "op5_secret_links": OP5, "op6_media_columns": OP6, "op9_suffix_dedup": OP9, "op13_phrase_collocations": OP13}

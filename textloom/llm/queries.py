@@ -9,7 +9,9 @@ from textloom.llm.media import media_digest
 from textloom.llm.mixing import mixing_weights
 from textloom.llm.passages import repeated_passages
 from textloom.llm.phrases import collocations
+from textloom.llm.pii import pii_digest
 from textloom.llm.quality import quality_scores
+from textloom.llm.runs import run_digest
 from textloom.llm.secrets import find_secrets
 from textloom.llm.simhash import simhash_groups
 from textloom.llm.suffixes import remove_repeats
@@ -58,9 +60,17 @@ def op10_mixing(spark, sf_dir):
     return mixing_weights(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark, sf_dir):
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_phrase_collocations(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op7_repeated_passages, op8_token_ids, op9_suffix_dedup, op10_mixing, op13_phrase_collocations)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_ranking, op3_toxicity_grammar, op4_simhash_groups, op5_secret_links, op6_media_columns, op7_repeated_passages, op8_token_ids, op9_suffix_dedup, op10_mixing, op11_personal_data, op12_periodic_runs, op13_phrase_collocations)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = oracles.ORACLE_SQL | {k: v for k, v in {"pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -89,3 +89,9 @@ def test_a_filter_that_passes_all_changes_nothing(spark, monkeypatch):
 def test_counts_are_of_all_documents(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("p q").alias("text"), F.lit("en").alias("lang"))
     assert [(r.phrase, r.a, r.n) for r in phrases.collocations(df).collect()] == [("p q", 1000, 2000)]
+
+
+def test_ranks_over_many_deals(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i % 40} v{i % 30}." for _ in range(12)) + f" w{i % 40} u{i % 50} " * 12, ["en", "fr"][i % 7 > 0], "", 0, 0) for i in range(600)]
+    monkeypatch.setattr(phrases, "DEAL", 5)
+    assert mined(spark, rows, top=4) == plain(rows, 10, 3, 50, 4)

@@ -29,7 +29,7 @@ LEAST, LONGEST, ABSORB, TOP = 10, 3, 50, 2000
 # Bytes of text in a shard, bytes for each range of hashes, phrases' places extended at a time, and bits of the filter of
 # pairs that may be frequent: 16 MB however many there are.
 SHARD, RANGE, BUNDLE, FILTER = 6_000_000, 1 << 19, 1 << 17, 1 << 27
-SALTS, DEAL = 16, 200_000
+SALTS, DEAL = 16, 20_000
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 KINDS = np.zeros(256, np.uint8)
 KINDS[list(BLANKS)], KINDS[list(PIECE_ENDS)] = 1, 2
@@ -341,8 +341,12 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ab
     rows = _scored(counted).join(_absorbed(counted, longest), ["lang", "phrase"], "left")
     kept = stored(rows.where(F.col("most").isNull() | (100 * F.col("most") < absorb * F.col("a"))).drop("most", "words"), "kept")
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    deals = kept.count() // DEAL + 1
-    dealt = kept.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(deals)))
-    best = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "deal").orderBy(*order))).where(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    best, rows = kept, kept.count()
+    while True:  # a language's rows are ranked in deals, whose best are ranked again in a tenth as many, and so on
+        deals = rows // DEAL + 1
+        best = best.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(deals)))
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "deal").orderBy(*order))).where(F.col("rank") <= top)
+        if deals == 1:
+            break
+        rows = min(rows // 10, deals * top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import vector_index
+from textloom.operators import text_index, vector_index
 from textloom.plans.catalog import query
 from textloom.shared import shared_path, table
 
@@ -27,3 +30,16 @@ def vector_index_neighbours(spark, sf_dir):
     index = vector_index.build(rows, "vec_id", shared_path(spark, "vector_index"))
     found = vector_index.search(index, rows.where("vec_id % 20 = 0"), "vec_id")
     return found.select("query", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+# Patterns that the index serves from postings, among them one that it must try on all texts.
+PATTERNS = ["mit licen[cs]e", r"(all|some) rights\s+reserved", "thing.*(tion|ung) ", "é(au|ch)x?e", r"[0-9]{4}"]
+_MATCHED = " union all ".join(f"select {i} as pattern, doc_id from documents where regexp_matches(text, '{p}', 'i')" for i, p in enumerate(PATTERNS))
+
+
+@query(_MATCHED)
+def text_index_search(spark, sf_dir):
+    """All texts that match each of a few patterns, by the trigram index."""
+    index = text_index.build(table(spark, sf_dir, "documents"), "doc_id", shared_path(spark, "text_index"))
+    found = [text_index.search(index, p).select(F.lit(i).alias("pattern"), F.col("key").alias("doc_id")) for i, p in enumerate(PATTERNS)]
+    return reduce(DataFrame.union, found)

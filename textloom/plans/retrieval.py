@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators import text_index, vector_index
+from textloom.operators import fuzzy_join, lookup, text_index, vector_index
 from textloom.plans.catalog import query
 from textloom.shared import shared_path, table
 
@@ -43,3 +43,46 @@ def text_index_search(spark, sf_dir):
     index = text_index.build(table(spark, sf_dir, "documents"), "doc_id", shared_path(spark, "text_index"))
     found = [text_index.search(index, p).select(F.lit(i).alias("pattern"), F.col("key").alias("doc_id")) for i, p in enumerate(PATTERNS)]
     return reduce(DataFrame.union, found)
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_PAIRS = f"(select distinct w[i] || ' ' || w[i + 1] as phrase from (select w, unnest(range(1, len(w))) as i from (select {_WORDS} as w from benchmark)))"
+
+
+def _words():
+    return F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def _pairs(spark, sf_dir):
+    """Pairs of neighbouring words of the benchmark as a dictionary in their own order."""
+    w = table(spark, sf_dir, "benchmark").select(_words().alias("w")).where("size(w) > 1")
+    phrases = w.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))).alias("phrase")).distinct()
+    return lookup.numbered(phrases.withColumn("value", F.col("phrase")), "phrase")
+
+
+@query(f"select doc_id, coalesce(min(phrase), '') as value from documents left join {_PAIRS} on contains(lower(text), phrase) group by doc_id")
+def lookup_first(spark, sf_dir):
+    """The first of many phrases that stands in each document."""
+    return lookup.first_match(table(spark, sf_dir, "documents"), "doc_id", "text", _pairs(spark, sf_dir))
+
+
+@query(f"select conv_id * 1000 + turn as message, coalesce(array_to_string(list_sort(list(phrase) filter (phrase is not null)), ','), '') as tags from conversations left join {_PAIRS} on contains(lower(text), phrase) group by all")
+def lookup_tags(spark, sf_dir):
+    """All phrases in each message."""
+    messages = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), "text")
+    return lookup.tags(messages, "message", "text", _pairs(spark, sf_dir)).select("message", F.array_join("tags", ",").alias("tags"))
+
+
+# The longest common subsequence by its table, a row for each letter of one word, as lists of numbers.
+_COMMON = """list_reduce(list_concat([list_transform(range(len(y) + 1), lambda i: 0)], list_transform(range(1, len(x) + 1), lambda i: [ord(x[i])])),
+lambda row, c: list_transform(range(1, len(y) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], case when k > 1 and ord(y[k - 1]) = c[1] then row[k - 1] + 1 else 0 end)))))[-1]"""
+
+
+@query(f"""with w as (select distinct w as x from (select unnest({_WORDS}) as w from benchmark) where length(w) > 3),
+p as (select a.x, b.x as y from w a join w b on a.x < b.x and 2 * least(length(a.x), length(b.x)) >= 0.8 * (length(a.x) + length(b.x)))
+select x as a, y as b, round(s, 6) as score from (select x, y, 200.0 * {_COMMON} / (length(x) + length(y)) as s from p) where s >= 80""")
+def fuzzy_words(spark, sf_dir):
+    """Pairs of the benchmark's words that are alike."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(_words()).alias("w")).where("length(w) > 3")
+    found = fuzzy_join.alike(words, "w", words, "w", 80)
+    return found.where("a < b").select("a", "b", F.round("score", 6).alias("score"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from textloom.operators import fuzzy_join, lookup, text_index, vector_index
 from textloom.plans.catalog import query
-from textloom.shared import shared_path, table
+from textloom.shared import shared_path, stored, table
+from textloom.streaming import state
 
 _ASKED = "select vec_id as query, embedding as asked from embeddings where vec_id % 20 = 0"
 
@@ -86,3 +87,38 @@ def fuzzy_words(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(_words()).alias("w")).where("length(w) > 3")
     found = fuzzy_join.alike(words, "w", words, "w", 80)
     return found.where("a < b").select("a", "b", F.round("score", 6).alias("score"))
+
+
+# Of each message a second-long turn of its conversation; what ends in "tion" is what the conversation is about from there on.
+_EVENTS = r"select conv_id, turn, text, nullif(regexp_extract(text, '([A-Za-z]+tion)', 1), '') as about from conversations"
+
+
+def _conversation(spark, sf_dir):
+    """The events of all conversations: an entity before the message that names it."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    base = rows.select(F.col("conv_id").cast("string").alias("session"), F.timestamp_seconds(F.col("turn") + 1).alias("at"), "turn", "text", F.nullif(F.regexp_extract("text", r"([A-Za-z]+tion)", 1), F.lit("")).alias("about"))
+    said = base.select("session", "at", (2 * F.col("turn") + 1).alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("text").alias("value"))
+    named = base.where("about is not null").select("session", "at", (2 * F.col("turn")).alias("seq"), F.lit("entity").alias("kind"), F.lit("school").alias("name"), F.col("about").alias("value"))
+    return said.union(named)
+
+
+def _states(spark, sf_dir):
+    """The events written as a few files, which the stream takes one by one."""
+    events = stored(_conversation(spark, sf_dir), "events")
+    stream = spark.readStream.schema(events.schema).parquet(events.stored_at)
+    return state.run_to_end(state.session_states(stream, late="1 hour"), shared_path(spark, "sessions"))
+
+
+@query(f"""select conv_id::varchar as session, count(*) as n, array_to_string(list(text order by turn)[-5:], '|') as history, coalesce(last(about order by turn) filter (about is not null), '') as about
+from ({_EVENTS}) group by conv_id""")
+def session_state_stream(spark, sf_dir):
+    """The state that the streaming operator leaves for each conversation."""
+    rows = state.latest(_states(spark, sf_dir))
+    return rows.select("session", "n", F.array_join("history", "|").alias("history"), F.coalesce(F.element_at("entities", F.lit("school")), F.lit("")).alias("about"))
+
+
+@query(f"select conv_id::varchar as session, turn, last_value(about ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as about from ({_EVENTS})")
+def sticky_entity_stream(spark, sf_dir):
+    """What each message is about, as the streaming operator tells it."""
+    rows = _states(spark, sf_dir).where("event = 'message'")
+    return rows.select("session", F.expr("seq div 2").alias("turn"), F.col("resolved").alias("about"))

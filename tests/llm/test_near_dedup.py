@@ -67,6 +67,27 @@ def test_recall_at_the_least_similarity(spark):
     assert all(got[i] == 300 for i in range(300, 1800)) and all(got[i] == i for i in range(1800, 2500))
 
 
+def test_recall_where_texts_share_most_words(spark):
+    """Every text has three quarters of its words from one passage: unrelated ones are alike at 0.6 and crowd the buckets."""
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    common, texts, pairs = words(170), [], []
+    for _ in range(150):
+        a = common + words(50)
+        b = list(a)
+        for at in rng.choice(len(a), 4, replace=False):
+            b[at] = words(1)[0]
+        x, y = grams(" ".join(a)), grams(" ".join(b))
+        if len(x & y) >= 0.8 * len(x | y):
+            pairs.append(len(texts))
+        texts += [a, b]
+    texts += [common + words(50) for _ in range(5700)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string")
+    got = {r.row: r.group for r in near_groups(rows).collect()}
+    assert sum(got[i + 1] == i for i in pairs) >= 0.95 * len(pairs) > 140
+    assert all(got[i] == i for i in range(300, len(texts)))
+
+
 def test_long_buckets_are_worked_on_in_runs(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "HOT", 100)
     base = [f"w{i}" for i in range(200)]
@@ -89,8 +110,7 @@ def test_fingerprint_distance_tells_similarity():
     apart = lambda x, y: int(np.bitwise_count(x ^ y).sum())
     assert apart(fps[0], fps[0]) == 0 and apart(fps[0], fps[1]) < 30
     assert not wide_fingerprint(shingle_set(" \n", 5, known)).any()
-    first, second, rows = np.array([f[0] for f in fps[:2]]), np.array([f[1] for f in fps[:2]]), np.array([7, 3])
-    assert [set(x.tolist()) for x in proposals(first, second, rows, 0.8)] == [{7}, {3}]
+    assert [set(x.tolist()) for x in proposals(np.array(fps[:2]), np.array([7, 3]), 0.8)] == [{7}, {3}]
 
 
 @pytest.mark.parametrize("broadcast", [2_000_000, 0])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -37,6 +41,18 @@ def status_counts(deduped: DataFrame) -> DataFrame:
     return deduped.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_counted(deduped: DataFrame, path: str, failed: Column | None = None) -> dict[str, int]:
+    """Writes the rows that are no duplicates and gives how many were ok, dup and err: counted as they pass, in the same job.
+
+    ``failed`` says which rows count as errors; those are not written."""
+    err = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    seen = Observation("run")
+    rows = deduped.withColumn("_err", err).observe(seen, count(~F.col("_err") & (F.col("status") == "ok"), "ok"), count(~F.col("_err") & (F.col("status") == "dup"), "dup"), count(F.col("_err"), "err"))
+    rows.where(~F.col("_err") & (F.col("status") == "ok")).drop("_err").write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def normalize(docs: DataFrame, steps: tuple[str, ...] = STEPS, state: DataFrame | None = None, root: str = "") -> DataFrame:
     """The normalization chain over (path, value): filename, school, title, url, tags, year, hash, status, content.
 
@@ -102,6 +118,47 @@ def embed_backlog(chunks: DataFrame, embed) -> DataFrame:
     return done.unionByName(made.select(done.columns))
 
 
+BATCH, PADDED, WINDOW_ROWS = 32, 16_384, 1024
+
+
+def batches_of(lengths: np.ndarray, count: int = BATCH, padded: int = PADDED) -> list[np.ndarray]:
+    """Rows in batches of ``count`` at most, by falling length, none of which comes to more than ``padded`` when its rows are
+    made as long as its longest; a row longer than that is alone."""
+    order, out, lo = np.argsort(-lengths, kind="stable"), [], 0
+    while lo < len(order):
+        n = max(1, min(count, padded // max(int(lengths[order[lo]]), 1)))
+        out.append(order[lo : lo + n])
+        lo += n
+    return out
+
+
+def embed_in_batches(chunks: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], text: Column, count: int = BATCH, padded: int = PADDED) -> DataFrame:
+    """``chunks`` with embeddings where there were none. ``load`` makes a model (a function of a list of texts), once for each
+    task, not for each batch; texts are taken in windows, sorted by length there, batched by count and by padded size, and
+    come back in their order. Rows that have an embedding don't pass through Python."""
+    done = chunks.where(F.col("embedding").isNotNull())
+    asked = backlog(chunks).drop("embedding").withColumn("_text", F.coalesce(text, F.lit("")))
+    names = asked.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for whole in batches:
+            for lo in range(0, whole.num_rows, WINDOW_ROWS):
+                batch = whole.slice(lo, WINDOW_ROWS)
+                model = model or load()
+                texts = batch.column(names.index("_text")).to_pylist()
+                made: list = [None] * len(texts)
+                for rows in batches_of(np.array([len(t) for t in texts]), count, padded):
+                    for i, v in zip(rows.tolist(), model([texts[i] for i in rows]), strict=True):
+                        made[i] = np.asarray(v, np.float32)
+                kept = [batch.column(i) for i, n in enumerate(names) if n != "_text"]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.list_(pa.float32()))], [*(n for n in names if n != "_text"), "embedding"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema if f.name != "_text")
+    made = asked.mapInArrow(run, f"{fields}, embedding array<float>")
+    return done.unionByName(made)
+
+
 def unseen(frontier: DataFrame, state: DataFrame, key: str = "key", most: int | None = None) -> DataFrame:
     """Rows whose key is in no state table yet, the first ``most`` by key."""
     new = frontier.join(state.select(key), key, "left_anti")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from textloom.plans import catalog, exchange, retrieval  # noqa: F401
+from textloom.plans import catalog, exchange, retrieval, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

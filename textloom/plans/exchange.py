@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from textloom.functions import dictionaries as d
 from textloom.functions import links as L
 from textloom.functions import ocr
 from textloom.functions import queries as Q
@@ -18,7 +19,7 @@ from textloom.functions import text as T
 from textloom.functions.tables import table_to_text
 from textloom.operators import corpus, crawl, records, retrieve, sessions
 from textloom.plans import chat
-from textloom.plans.catalog import _HASH, _NEAREST, _fused, _FUSED, _vector, query
+from textloom.plans.catalog import _HASH, _NEAREST, _fused, _FUSED, _listed, _vector, query
 from textloom.shared import shared_path, table
 from textloom.sources import readers, sinks
 
@@ -312,16 +313,27 @@ def rewrite_reply(spark, sf_dir):
     return rows.select("conv_id", "turn", Q.parse_rewrite(reply, F.lit("q")).alias("p")).select("conv_id", "turn", "p.rewrite", "p.hyde")
 
 
-@query("select conv_id, turn, case turn % 3 when 0 then 'quota' when 1 then 'key' else 'connection' end as kind from conversations")
+def _any(words, text: str) -> str:
+    return f"len(list_filter({_listed(words)}, lambda w: contains({text}, w))) > 0"
+
+
+_SAID = "select conv_id, turn, ['Error: QUOTA exceeded ', '403 Forbidden, API key ', ''][turn % 3 + 1] || text as t from conversations"
+
+
+@query(f"select conv_id, turn, case when {_any(d.QUOTA_ERRORS, 'lower(t)')} then 'quota' when {_any(d.KEY_ERRORS, 'lower(t)')} then 'key' else 'connection' end as kind from ({_SAID})")
 def error_kinds(spark, sf_dir):
-    said = F.element_at(F.array(F.lit("Error: QUOTA exceeded"), F.lit("403 Forbidden"), F.lit("timed out")), (F.col("turn") % 3 + 1).cast("int"))
+    said = F.concat(F.element_at(F.array(F.lit("Error: QUOTA exceeded "), F.lit("403 Forbidden, API key "), F.lit("")), (F.col("turn") % 3 + 1).cast("int")), "text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.error_kind(said).alias("kind"))
 
 
-@query("select conv_id, turn, turn % 2 = 0 as scores, turn % 2 = 0 as longer from conversations")
+_LEADS = [f"{d.SCORE_WORDS[0].title()} ", f"{d.OTHER_YEARS[0]} ", f"{d.SCORE_WORDS[-1]} {d.OTHER_YEARS[-1]} ", ""]
+
+
+@query(f"""select conv_id, turn, t || case when {_any(d.SCORE_WORDS, 'lower(t)')} then '{d.SCORE_BOOST}' else '' end || case when {_any(d.OTHER_YEARS, 'lower(t)')} then '{d.YEARS_BOOST}' else '' end as boosted
+from (select conv_id, turn, {_listed(_LEADS)}[turn % 4 + 1] || text as t from conversations)""")
 def boosted_questions(spark, sf_dir):
-    asked = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Điểm chuẩn "), F.md5("text"))).otherwise(F.md5("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.is_score_query(asked).alias("scores"), (F.length(Q.boosted(asked)) > F.length(asked)).alias("longer"))
+    asked = F.concat(F.element_at(F.array(*[F.lit(x) for x in _LEADS]), (F.col("turn") % 4 + 1).cast("int")), "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Q.boosted(asked).alias("boosted"))
 
 
 @query("select conv_id, array_to_string(list(text order by turn)[-3:], '|') as history from conversations where conv_id <> 3 group by conv_id")
@@ -395,9 +407,12 @@ def answer_context(spark, sf_dir):
     return retrieve.context(_fused(spark, sf_dir), text="content")
 
 
-@query("select false as low_confidence union all select true union all select true")
+@query(_FUSED + " select k, max(1 + length(text) % k) <= 2 as low_confidence from g, (values (1), (2), (3), (5)) t(k) group by k union all select 0, true")
 def low_confidence(spark, sf_dir):
+    """Whether the best score of a result list is low, for scores by the lengths of its texts, and without scores."""
     docs = _fused(spark, sf_dir)
-    three = [retrieve.rerank(docs, s) for s in ([5, 1, 1, 1, 1, 1, 1, 1, 1, 1], [2] * 10, None)]
-    out = [retrieve.low_confidence(x) for x in three]
-    return out[0].union(out[1]).union(out[2])
+    sizes = [r.n for r in docs.select("pos", F.length("content").alias("n")).orderBy("pos").collect()]  # a result list
+    out = retrieve.low_confidence(retrieve.rerank(docs, None)).select(F.lit(0).alias("k"), "low_confidence")
+    for k in (1, 2, 3, 5):
+        out = out.union(retrieve.low_confidence(retrieve.rerank(docs, [1 + n % k for n in sizes])).select(F.lit(k).alias("k"), "low_confidence"))
+    return out

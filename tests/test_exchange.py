@@ -151,3 +151,18 @@ def test_a_cluster_needs_a_shared_folder():
 def test_overfetch_cuts_after_the_filters(spark):
     docs = spark.createDataFrame([(i, "s" if i >= 8 else "t", ["a"], 2024, [1.0, i / 10]) for i in range(12)], "id int, school string, tags array<string>, year int, embedding array<float>")
     assert [r.id for r in retrieve.overfetched(docs, [1.0, 0.0], "id", limit=2, school="s").collect()] == [8, 9]
+
+
+def test_prompts_without_sources_or_history(spark):
+    docs = spark.createDataFrame([(2, "b", None, None), (1, "a", "", "http://x"), (3, "c", "T", "")], "pos int, enriched string, source_title string, source_url string")
+    text = retrieve.prompt(docs, "q?", layout="{history}|{context}|{sources}|{question}|{note}").first().prompt
+    assert text == "(none)|[Nguồn 1]\na\n\n---\n\n[Nguồn 2]\nb\n\n---\n\n[Nguồn 3]\nc|- [Nguồn 1]: Nguồn (http://x)\n- [Nguồn 3]: T|q?|"
+    none = retrieve.prompt(docs.limit(0), "q?", [("user", "hi"), ("bot", "yes")], layout="{history}|{context}|{sources}").first().prompt
+    assert none == "Người dùng: hi\nTrợ lý: yes||(none)"
+
+
+def test_pictures_stand_in_their_pages(spark):
+    pages = spark.createDataFrame([("http://h/a", "<img src='x.png'>t<img data-src=\"/y.png\"><img>"), ("http://h/b", None), ("http://h/c", "<img src='x.png'>")], "url string, html string")
+    texts = spark.createDataFrame([("http://h/a", "http://h/x.png", "1 < 2"), ("http://h/a", "http://h/y.png", "two\nlines"), ("http://h/b", "http://h/x.png", "z")], "url string, picture string, text string")
+    got = {r.url: r.html for r in crawl.pictures_in_pages(pages, texts).collect()}
+    assert got == {"http://h/a": "<p>1 &lt; 2</p>t<p>two\nlines</p><img>", "http://h/b": None, "http://h/c": "<img src='x.png'>"}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html as escape
 import json
+import re
 from collections.abc import Callable
+from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -185,3 +188,31 @@ def picture_texts(pictures: DataFrame, recognize: Callable[[Column], Column], si
     records = cells.withColumn("records", table_records("cells"))
     text = ocr.picture_text(ocr.markdown_rows("records"), ocr.generic_table("cells"))
     return records.select("url", "picture", text.alias("text")).where("text is not null")
+
+
+IMAGE = re.compile(r"(?is)<img\b[^>]*>")
+SOURCE = re.compile(r"""(?is)\s(?:data-)?src\s*=\s*["']([^"']+)["']""")
+
+
+def pictures_in_pages(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pages`` (url, html) with paragraphs of text in the places of the pictures that ``texts`` (url, picture, text) has any
+    for, so that what follows reads them as part of the page. Pictures of a page come together, pages do not."""
+    known = texts.groupBy("url").agg(F.collect_list(F.struct("picture", "text")).alias("_read"))
+
+    @F.pandas_udf(t.StringType())
+    def placed(url: pd.Series, html: pd.Series, read: pd.Series) -> pd.Series:
+        def one(base: str, page: str | None, found) -> str | None:
+            if page is None or found is None:
+                return page
+            by = {r["picture"]: r["text"] for r in found}
+
+            def text_of(m: re.Match) -> str:
+                src = SOURCE.search(m[0])
+                text = by.get(urljoin(base, escape.unescape(src[1].strip()))) if src else None
+                return m[0] if text is None else f"<p>{escape.escape(text, quote=False)}</p>"
+
+            return IMAGE.sub(text_of, page)
+
+        return pd.Series([one(*x) for x in zip(url, html, read, strict=True)], dtype=object)
+
+    return pages.join(known, "url", "left").withColumn("html", placed("url", "html", "_read")).select(pages.columns)

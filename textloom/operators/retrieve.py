@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,6 +145,45 @@ def context(docs: DataFrame, pos: str = "pos", text: str = "enriched") -> DataFr
     return docs.agg(F.array_join(F.transform(rows, lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), r["t"])), "\n\n").alias("context"))
 
 
+# How sources are named in an answer and who speaks in the history.
+SOURCE, SOURCE_NAME, ROLES, PARTS = "[Nguồn {}]", "Nguồn", {"user": "Người dùng"}, "\n\n---\n\n"
+OTHER_ROLE = "Trợ lý"
+#: Our own wording around what a prompt holds; a caller may pass another with the same fields.
+LAYOUT = """History:
+{history}
+
+Passages:
+{context}
+
+Sources:
+{sources}
+
+Question: {question}
+{note}
+Answer from the passages and name the source of each fact:"""
+NOTE = "The passages fit the question badly: say so in place of an answer, and offer the latest year that there is.\n"
+ABSENT = "(none)"
+
+
+def prompt(docs: DataFrame, question: str, history: list[tuple[str, str]] | None = None, unsure: bool = False, pos: str = "pos", text: str = "enriched", layout: str = LAYOUT) -> DataFrame:
+    """One row: what goes to a model for a result list: its texts under numbered labels, the labels' sources (rows without a
+    title and a URL have none), the (role, message) pairs of the history, the question, and a note if the search was ``unsure``."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"), F.coalesce("source_title", F.lit("")).alias("title"), F.coalesce("source_url", F.lit("")).alias("url"))))
+    head, tail = SOURCE.split("{}")
+    label = lambda i: F.concat(F.lit(head), (i + 1).cast("string"), F.lit(tail))
+
+    def source(r: Column, i: Column) -> Column:
+        named = F.concat(F.lit("- "), label(i), F.lit(": "), F.when(r["title"] != "", r["title"]).otherwise(SOURCE_NAME))
+        return F.when(r["url"] != "", F.concat(named, F.lit(" ("), r["url"], F.lit(")"))).when(r["title"] != "", named)
+
+    parts = F.array_join(F.transform(rows, lambda r, i: F.concat(label(i), F.lit("\n"), r["t"])), PARTS)
+    named = F.array_join(F.filter(F.transform(rows, source), lambda x: x.isNotNull()), "\n")
+    said = "\n".join(f"{ROLES.get(role, OTHER_ROLE)}: {message}" for role, message in history or []) or ABSENT
+    fields = {"context": parts, "sources": F.when(named != "", named).otherwise(ABSENT), "history": F.lit(said), "question": F.lit(question), "note": F.lit(NOTE if unsure else "")}
+    pieces = re.split(r"\{(\w+)\}", layout)
+    return docs.agg(F.concat(*[fields[x] if i % 2 else F.lit(x) for i, x in enumerate(pieces)]).alias("prompt"))
+
+
 def ranked(docs: DataFrame, key: str) -> DataFrame:
     """A result list with its rank from 0."""
     return docs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1)

@@ -416,3 +416,44 @@ def low_confidence(spark, sf_dir):
     for k in (1, 2, 3, 5):
         out = out.union(retrieve.low_confidence(retrieve.rerank(docs, [1 + n % k for n in sizes])).select(F.lit(k).alias("k"), "low_confidence"))
     return out
+
+
+_SOURCES = "select pos, text, case when doc_id % 3 = 0 then '' else 'T' || doc_id end as title, case when doc_id % 2 = 0 then 'http://h/' || doc_id else '' end as url from g"
+
+
+@query(_FUSED + f""", s as ({_SOURCES}),
+c as (select string_agg('[Nguồn ' || pos || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context,
+coalesce(string_agg('- [Nguồn ' || pos || ']: ' || case when title <> '' then title else 'Nguồn' end || case when url <> '' then ' (' || url || ')' else '' end, chr(10) order by pos) filter (url <> '' or title <> ''), '(none)') as sources from s),
+h as (select coalesce(string_agg(case role when 'user' then 'Người dùng' else 'Trợ lý' end || ': ' || text, chr(10) order by turn), '(none)') as history from conversations where conv_id = 1 and turn < 3)
+select replace(replace(replace(replace(replace('{retrieve.LAYOUT}', '{{note}}', '{retrieve.NOTE}'), '{{question}}', 'which one?'), '{{history}}', history), '{{sources}}', sources), '{{context}}', context) as prompt from c, h""")
+def answer_prompt(spark, sf_dir):
+    """What goes to a model: the fused texts with their sources after the first messages of a conversation."""
+    docs = _fused(spark, sf_dir).withColumns({"source_title": F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("T"), "doc_id")), "source_url": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("http://h/"), "doc_id"))})
+    said = table(spark, sf_dir, "conversations").where("conv_id = 1 and turn < 3").orderBy("turn").collect()
+    return retrieve.prompt(docs, "which one?", [(r.role, r.text) for r in said], unsure=True, text="content")
+
+
+_PICTURED = "'<p>at</p><img alt=\"x\" src=\"/p' || page_id || '.png\"><IMG data-src=''q.svg''>' || case when page_id % 2 = 0 then '<img src=other.gif>' else '' end || coalesce(html, '')"
+
+
+@query(f"""select page_id, replace({_PICTURED}, '<img alt="x" src="/p' || page_id || '.png">', case when page_id % 3 = 0 then '<p>read &lt;' || page_id || '&gt;</p>' else '<img alt="x" src="/p' || page_id || '.png">' end) as html from pages""")
+def pictured_pages(spark, sf_dir):
+    """Pages with the text of their pictures in the pictures' places."""
+    html = F.concat(F.lit("<p>at</p><img alt=\"x\" src=\"/p"), "page_id", F.lit(".png\"><IMG data-src='q.svg'>"), F.when(F.col("page_id") % 2 == 0, "<img src=other.gif>").otherwise(""), F.coalesce("html", F.lit("")))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://h/"), "page_id", F.lit("/a")).alias("url"), html.alias("html"))
+    texts = pages.where("page_id % 3 = 0").select("url", F.concat(F.lit("http://h/p"), "page_id", F.lit(".png")).alias("picture"), F.concat(F.lit("read <"), "page_id", F.lit(">")).alias("text"))
+    return crawl.pictures_in_pages(pages, texts).select("page_id", "html")
+
+
+@query("select 'http://h/' || doc_id || '.png' as url, 'image' as type, '| ' || lang || source || ' | ' || source || lang || ' |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || lang || ' | ' || lang || source || ' |' as text from documents where doc_id % 2 = 0")
+def attached_pictures(spark, sf_dir):
+    """Attachments, pictures among them read by the caller's recognizer: here two rows of two cells from the row's own text."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    files = docs.select(F.concat(F.lit("http://h/"), "doc_id", F.lit(".png")).alias("url"), F.encode(F.concat_ws("|", "lang", "source"), "utf-8").alias("content"))
+
+    def recognize(content):
+        said = F.split(F.decode(content, "utf-8"), "[|]")
+        token = lambda cy, cx, a, b: F.struct(F.lit(cy).alias("cy"), F.lit(cx).alias("cx"), F.lit(10.0).alias("h"), F.concat(said[a], said[b]).alias("text"))
+        return F.struct(F.lit(1000.0).alias("height"), F.array(token(10.0, 10.0, 0, 1), token(10.0, 900.0, 1, 0), token(90.0, 10.0, 1, 0), token(90.0, 900.0, 0, 1)).alias("tokens"))
+
+    return readers.attachments(files, recognize)

@@ -5,16 +5,17 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions.links import content_type
-from textloom.operators.crawl import link_rows
+from textloom.operators.crawl import link_rows, picture_texts
 
 
 def text_files(spark: SparkSession, root: str, pattern: str = "*.{md,txt}", recursive: bool = True) -> DataFrame:
@@ -110,7 +111,13 @@ def extracted(content: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([one(b, k) for b, k in zip(content, kind, strict=True)], dtype=object)
 
 
-def attachments(files: DataFrame) -> DataFrame:
-    """url, type, text of fetched files (url, content): the text by a reader where the type has one."""
+def attachments(files: DataFrame, recognize: Callable[[Column], Column] | None = None) -> DataFrame:
+    """url, type, text of fetched files (url, content): the text by a reader where the type has one, of pictures by the
+    caller's ``recognize`` (of a content, as ``crawl.picture_texts`` takes it), null where that finds too little."""
     kind = content_type("url")
-    return files.select("url", kind.alias("type"), extracted("content", kind).alias("text"))
+    out = files.select("url", kind.alias("type"), extracted("content", kind).alias("text"))
+    if recognize is None:
+        return out
+    pictures = files.where(kind == "image").select("url", F.col("content").alias("picture"))
+    read = picture_texts(pictures, recognize).select("url", F.col("text").alias("_read")).dropDuplicates(["url"])
+    return out.join(read, "url", "left").select("url", "type", F.coalesce("text", "_read").alias("text"))

@@ -28,7 +28,7 @@ from textloom.shared import discard, stored
 LEAST, LONGEST, ABSORB, TOP = 10, 3, 50, 2000
 # Bytes of text in a shard, bytes for each range of hashes, phrases' places extended at a time, and bits of the filter of
 # pairs that may be frequent: 16 MB however many there are.
-SHARD, RANGE, BUNDLE, FILTER = 6_000_000, 1 << 19, 1 << 17, 1 << 27
+SHARD, RANGE, BUNDLE, FILTER = 3_000_000, 1 << 19, 1 << 16, 1 << 27
 SALTS, DEAL = 16, 20_000
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 KINDS = np.zeros(256, np.uint8)

@@ -60,3 +60,17 @@ def test_odd_letters_as_the_tokenizer_alone():
     texts = ["\u03a3 \u0130!", *("".join(rng.choice(letters, int(rng.integers(1, 24)))) for _ in range(100_000))]
     plain = Tokenizer.from_file(tokenizer_path()).encode_batch_fast(texts, add_special_tokens=False)
     assert [t for t, p, got in zip(texts, plain, WordEncoder(tokenizer_path())(texts), strict=True) if p.ids != got.tolist()] == []
+
+
+def test_every_letter_and_a_small_cache():
+    from tokenizers import Tokenizer
+
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    texts = [f"{c} x{c}{c.upper()}y, {c.lower()}{c}! {c}'s" for c in letters] + ["".join(letters), "word " * 50, "a, b. c; word", "J\u030c X\u030c T\u0308, W\u030a H\u0331"]
+    plain = [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch_fast(texts, add_special_tokens=False)]
+    encoder = WordEncoder(tokenizer_path(), cache=4000)
+    for t, want in zip(texts, plain, strict=True):
+        assert encoder([t])[0].tolist() == want
+        assert encoder.held < 4000 + 400 * (len(t) + 1)  # what one text adds goes before the next
+    assert [x.tolist() for x in WordEncoder(tokenizer_path())(texts)] == plain and WordEncoder(tokenizer_path()).words == {}
+    assert WordEncoder(tokenizer_path())([]) == [] and [len(x) for x in WordEncoder(tokenizer_path())(["", " "])] == [0, 0]

@@ -5,11 +5,11 @@ with the documents it holds. Offsets come from the segments' counts, summed with
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from textloom.shared import shared_path
 
 END_ID = 2
 SEGMENT_IDS = 1 << 16
-CACHE_WORDS = 600_000  # and five thirds as many stems
+CACHE_BYTES = 256 << 20  # of words that a task keeps
+ENTRY_BYTES = 150  # of the two objects and their place in a dictionary, beside their own lengths
 MARKS = ".,!?;:"
 LETTERS = "\u0250"  # beyond the letters that all Unicode versions agree on
 SEGMENTS = "part int, seq int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
@@ -36,71 +37,87 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _lowered(t: str) -> str:
+    """The text in lower case where the tokenizer, which composes letters and marks before it, sees the same; else as it is."""
+    low = t.lower()
+    try:
+        t.encode("latin-1")  # has no marks that could be composed, and is checked many times faster
+        return low
+    except UnicodeEncodeError:
+        return low if "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", low) else t
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that lower-cases and whose pieces never reach over white space: each word is
     encoded once and kept, and a word of letters with marks after it is put together from the two.
 
     Texts with what the tokenizer may see across words (its special tokens, control characters that only Python takes
-    for white space) go through the tokenizer as they are."""
+    for white space) go through the tokenizer as they are. What is kept is bounded by ``cache`` bytes, counted before each
+    piece; the words of one piece come on top of it until the next."""
 
-    def __init__(self, path: str, cache: int = CACHE_WORDS):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        letters = [c for c in map(chr, range(ord(LETTERS))) if c.isalpha() and c == c.lower()]
+        self.units = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
         self.cache = cache
         self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.held = 0
 
     def _alone(self, words: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
             yield np.array(e.ids, "<u4").tobytes()
 
+    def _keep(self, made: dict[str, bytes]) -> None:
+        self.words.update(made)
+        self.held += ENTRY_BYTES * len(made) + sum(map(len, made)) + sum(map(len, made.values()))
+
     def _learn_stems(self, stems: list[str]) -> None:
-        """Words of letters alone: each ends at the one id that closes a word, so many are encoded as one text."""
-        for i in range(0, len(stems), 2000):
-            part = stems[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            end = np.flatnonzero(self.ends[ids]) + 1
-            if len(end) == len(part):
-                raw, bounds = ids.tobytes(), (4 * np.r_[0, end]).tolist()
-                self.stems.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:], strict=False))
-            else:
-                self.stems.update(zip(part, self._alone(part), strict=True))
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > self.cache:
+        """Words of letters alone: in lower case, letter by letter as its pre-tokenizer writes them, they are what the
+        tokenizer's model sees of them."""
+        split, made = self.tokenizer.model.tokenize, {}
+        for w in stems:
+            ids = [t.id for t in split(w.lower().translate(self.units))]
+            made[w] = pack(f"<{len(ids)}I", *ids)
+        self._keep(made)
+
+    def _learn(self, words: list[str]) -> None:
+        if self.held > self.cache:
             self.words.clear()
-        if len(self.stems) > self.cache * 5 // 3:
-            self.stems.clear()
-        new = words.difference(self.words)
-        cut = {w: w.rstrip(MARKS) for w in new}
-        plain = {w: s for w, s in cut.items() if (low := s.lower()).isalpha() and max(low) < LETTERS}  # as the tokenizer sees it
-        self._learn_stems([s for s in set(plain.values()) if s not in self.stems])
-        rest = [*(new.difference(plain)), *{w[len(s) :] for w, s in plain.items() if len(s) < len(w)}.difference(self.words)]
+            self.held = 0
+        known, plain, rest = self.words, {}, []
+        for w in words:
+            if w not in known:
+                low = (s := w.rstrip(MARKS)).lower()
+                if low.isalpha() and (low.isascii() or max(low) < LETTERS):  # as the tokenizer sees it
+                    plain[w] = s
+                else:
+                    rest.append(w)
+        self._learn_stems([s for s in {*plain.values()} if s not in known])
+        marked = {w: s for w, s in plain.items() if len(s) < len(w)}
+        rest += {w[len(s) :] for w, s in marked.items()}.difference(known, rest)
         for i in range(0, len(rest), 10_000):
-            self.words.update(zip(rest[i : i + 10_000], self._alone(rest[i : i + 10_000]), strict=True))
-        self.words.update((w, self.stems[s] + (self.words[w[len(s) :]] if len(s) < len(w) else b"")) for w, s in plain.items())
+            self._keep(dict(zip(rest[i : i + 10_000], self._alone(rest[i : i + 10_000]), strict=True)))
+        self._keep({w: known[s] + known[w[len(s) :]] for w, s in marked.items()})
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") else (t if "\u03a3" in t else t.lower()).split() for t in texts]
-        self._learn(set(chain.from_iterable(w for w in split if w is not None)))
-        get = self.words.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if w is None else np.frombuffer(b"".join(map(get, w)), "<u4")
-            for t, w in zip(texts, split, strict=True)
-        ]
-
-
-def kept_encoder(path: str, cache: int) -> WordEncoder:
-    """The encoder of this Python worker, which later tasks find with the words it knows."""
-    state = sys.modules.setdefault("textloom_worker_state", types.ModuleType("textloom_worker_state"))
-    if path not in state.__dict__:
-        state.__dict__[path] = WordEncoder(path)
-    state.__dict__[path].cache = cache
-    return state.__dict__[path]
+        whole = [i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")]
+        skip = {*whole}
+        split = [[] if i in skip else _lowered(t).split() for i, t in enumerate(texts)]
+        coded = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(words)
+        kept = [self.words[w] for w in words]
+        size = np.fromiter(map(len, kept), np.int64, len(kept)) // 4
+        n, first = size[at], (np.cumsum(size) - size)[at]
+        before = np.r_[0, np.cumsum(n)]  # ids before each word of the texts
+        ids = np.frombuffer(b"".join(kept), "<u4")[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
+        bounds = before[np.r_[0, np.cumsum([len(w) for w in split], dtype=np.int64)]].tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return out
 
 
 def _pack(path: str, end_id: int, limit: int, cache: int):
@@ -108,7 +125,7 @@ def _pack(path: str, end_id: int, limit: int, cache: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seq = kept_encoder(path, cache), TaskContext.get().partitionId(), 0
+        encoder, part, seq = WordEncoder(path, cache), TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[np.ndarray] = []
         total = 0
@@ -132,7 +149,7 @@ def _pack(path: str, end_id: int, limit: int, cache: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, cache: int = CACHE_WORDS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, cache: int = CACHE_BYTES) -> None:
     """Write the ids of all ``docs`` (doc_id, text; other columns are ignored) to ``path`` in ascending doc_id order.
 
     A null text counts as empty, and an empty one gives the end id alone. A null doc_id comes first. Rows that share a
@@ -167,9 +184,9 @@ def read_tokens(spark, path: str) -> DataFrame:
     return docs.join(bases, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, cache: int = CACHE_WORDS) -> DataFrame:
-    """``write_tokens`` to ``path`` (by default in the shared folder), then ``read_tokens``. ``cache`` bounds the words that a
-    Python worker keeps; fewer take less memory and more time."""
+def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, cache: int = CACHE_BYTES) -> DataFrame:
+    """``write_tokens`` to ``path`` (by default in the shared folder), then ``read_tokens``. ``cache`` bounds the bytes of
+    words that a task keeps; fewer take less memory and more time. No task finds anything that another has kept."""
     path = path or shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, cache=cache)
     return read_tokens(docs.sparkSession, path)

@@ -24,6 +24,7 @@ from textloom.shared import shared_path
 END_ID = 2
 SEGMENT_IDS = 1 << 16
 CACHE_BYTES = 256 << 20  # of words that a task keeps
+TASK_BYTES = 80 << 20
 ENTRY_BYTES = 150  # of the two objects and their place in a dictionary, beside their own lengths
 MARKS = ".,!?;:"
 LETTERS = "\u0250"  # beyond the letters that all Unicode versions agree on
@@ -154,8 +155,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     A null text counts as empty, and an empty one gives the end id alone. A null doc_id comes first. Rows that share a
     doc_id each have their own entry, in order of text. Very long texts are encoded whole, in a segment of their own if they
-    fill one. An empty table writes a table of no segments."""
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    fill one. An empty table writes a table of no segments. A task gets about ``TASK_BYTES`` of texts, as it has the words to
+    learn that they share; rows of one id are dealt out by how their texts start."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = docs.repartitionByRange(-(-size // TASK_BYTES) or 1, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, segment_ids, cache), SEGMENTS).write.parquet(path)
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textloom.llm import simple8b
-from textloom.llm.token_output import WordEncoder, encode_documents, tokenizer_path
+from textloom.llm.token_output import WordEncoder, encode_documents, encoder_of, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, at string"
 
@@ -74,3 +74,10 @@ def test_every_letter_and_a_small_cache():
         assert encoder.held < 4000 + 400 * (len(t) + 1)  # what one text adds goes before the next
     assert [x.tolist() for x in WordEncoder(tokenizer_path())(texts)] == plain and WordEncoder(tokenizer_path()).words == {}
     assert WordEncoder(tokenizer_path())([]) == [] and [len(x) for x in WordEncoder(tokenizer_path())(["", " "])] == [0, 0]
+
+
+def test_a_run_starts_with_no_words():
+    first = encoder_of("a", tokenizer_path(), 9000)
+    first(["some words"])
+    assert encoder_of("a", tokenizer_path(), 9000) is first and first.words
+    assert encoder_of("b", tokenizer_path(), 9000).words == {} and encoder_of("a", tokenizer_path(), 9000).words == {}

@@ -5,14 +5,16 @@ with the documents it holds. Offsets come from the segments' counts, summed with
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from struct import pack
-from unicodedata import is_normalized
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +25,7 @@ from textloom.shared import shared_path
 
 END_ID = 2
 SEGMENT_IDS = 1 << 16
-CACHE_BYTES = 256 << 20  # of words that a task keeps
-TASK_BYTES = 80 << 20
+CACHE_BYTES = 192 << 20  # of words that a Python worker keeps while it works on one table
 ENTRY_BYTES = 150  # of the two objects and their place in a dictionary, beside their own lengths
 MARKS = ".,!?;:"
 LETTERS = "\u0250"  # beyond the letters that all Unicode versions agree on
@@ -38,23 +39,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _lowered(t: str) -> str:
-    """The text in lower case where the tokenizer, which composes letters and marks before it, sees the same; else as it is."""
-    low = t.lower()
-    try:
-        t.encode("latin-1")  # has no marks that could be composed, and is checked many times faster
-        return low
-    except UnicodeEncodeError:
-        return low if "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", low) else t
-
-
 class WordEncoder:
     """Ids of whole texts for a tokenizer that lower-cases and whose pieces never reach over white space: each word is
     encoded once and kept, and a word of letters with marks after it is put together from the two.
 
-    Texts with what the tokenizer may see across words (its special tokens, control characters that only Python takes
-    for white space) go through the tokenizer as they are. What is kept is bounded by ``cache`` bytes, counted before each
-    piece; the words of one piece come on top of it until the next."""
+    Texts are cut at ASCII white space; whatever else stands between two such places is a word, which the tokenizer sees as
+    it is unless it is of letters and marks. Texts that may hold its special tokens go through it whole. What is kept is
+    bounded by ``cache`` bytes, counted before each piece; the words of one piece come on top of it until the next."""
 
     def __init__(self, path: str, cache: int = CACHE_BYTES):
         from tokenizers import Tokenizer
@@ -103,10 +94,10 @@ class WordEncoder:
         self._keep({w: known[s] + known[w[len(s) :]] for w, s in marked.items()})
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        skip = {*whole}
-        split = [[] if i in skip else _lowered(t).split() for i, t in enumerate(texts)]
-        coded = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
+        column = pa.array(texts, pa.large_string())
+        special = pc.match_substring(column, "<|")
+        split = pc.ascii_split_whitespace(pc.if_else(special, "", column))
+        coded = split.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         self._learn(words)
         kept = [self.words[w] for w in words]
@@ -114,19 +105,29 @@ class WordEncoder:
         n, first = size[at], (np.cumsum(size) - size)[at]
         before = np.r_[0, np.cumsum(n)]  # ids before each word of the texts
         ids = np.frombuffer(b"".join(kept), "<u4")[np.repeat(first - before[:-1], n) + np.arange(before[-1])]
-        bounds = before[np.r_[0, np.cumsum([len(w) for w in split], dtype=np.int64)]].tolist()
+        bounds = before[np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]].tolist()
         out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for i in whole:
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
         return out
 
 
-def _pack(path: str, end_id: int, limit: int, cache: int):
+def encoder_of(run: str, path: str, cache: int) -> WordEncoder:
+    """The encoder that the tasks of one ``run`` share in this Python worker: executors get this package anew with each task,
+    so it is kept by name. A new run starts with one that knows no words, and those of the run before are given back."""
+    kept = sys.modules.setdefault("textloom_run", types.ModuleType("textloom_run")).__dict__
+    if kept.get("run") != (run, path, cache):
+        kept.update(run=(run, path, cache), encoder=None)
+        kept["encoder"] = WordEncoder(path, cache)
+    return kept["encoder"]
+
+
+def _pack(run_id: str, path: str, end_id: int, limit: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, seq = WordEncoder(path, cache), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(run_id, path, cache), TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[np.ndarray] = []
         total = 0
@@ -155,12 +156,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     A null text counts as empty, and an empty one gives the end id alone. A null doc_id comes first. Rows that share a
     doc_id each have their own entry, in order of text. Very long texts are encoded whole, in a segment of their own if they
-    fill one. An empty table writes a table of no segments. A task gets about ``TASK_BYTES`` of texts, as it has the words to
-    learn that they share; rows of one id are dealt out by how their texts start."""
+    fill one. An empty table writes a table of no segments. Rows of one id are dealt out by how their texts start."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = docs.repartitionByRange(-(-size // TASK_BYTES) or 1, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_pack(tokenizer or tokenizer_path(), end_id, segment_ids, cache), SEGMENTS).write.parquet(path)
+    dealt = docs.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    dealt.mapInArrow(_pack(uuid4().hex, tokenizer or tokenizer_path(), end_id, segment_ids, cache), SEGMENTS).write.parquet(path)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +189,7 @@ def read_tokens(spark, path: str) -> DataFrame:
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, cache: int = CACHE_BYTES) -> DataFrame:
     """``write_tokens`` to ``path`` (by default in the shared folder), then ``read_tokens``. ``cache`` bounds the bytes of
-    words that a task keeps; fewer take less memory and more time. No task finds anything that another has kept."""
+    words that a Python worker keeps for the tasks of this call; fewer take less memory and more time."""
     path = path or shared_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, cache=cache)
     return read_tokens(docs.sparkSession, path)

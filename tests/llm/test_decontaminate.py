@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from textloom.llm.decontaminate import LEAST, MASKS, WHOLE, WINDOW, contaminated, decontaminated
+from textloom.llm.decontaminate import LEAST, MASKS, WHOLE, WINDOW, contaminated, decontaminated, masks_of
 from textloom.shared import table
 
 DOCS = "doc_id long, text string, item_id long, w string"
@@ -72,14 +72,29 @@ def test_against_every_shift(spark, least, window):
 
 def lost(n):
     """Ways to replace as many of ``n`` words as are allowed that leave no mask a seed."""
-    picked = [sum(1 << j for j, c in enumerate(m) if c == "1") << k for m in MASKS for k in range(n - len(m) + 1)]
+    picked = [sum(1 << j for j, c in enumerate(m) if c == "1") << k for m in MASKS + masks_of(n, MASKS) for k in range(n - len(m) + 1)]
     ways = [sum(1 << x for x in c) for c in combinations(range(n), n * (WINDOW - LEAST) // WINDOW if n >= WHOLE else 0)]
     return sum(all(w & p for p in picked) for w in ways), len(ways)
 
 
 def test_masks_lose_no_substitution():
     assert lost(WINDOW) == (0, 4845)
-    assert {n: lost(n)[0] for n in range(min(map(len, MASKS)), WINDOW) if lost(n)[0]} == {10: 8, 11: 3, 12: 1, 15: 9, 16: 2}
+    assert {n: lost(n)[0] for n in range(1, WINDOW) if lost(n)[0]} == {}
+
+
+@pytest.mark.parametrize("block", [10, 10**6])
+def test_short_items_with_words_replaced(spark, block):
+    lengths = (3, 10, 11, 12, 15, 16, 17)
+    items = spark.createDataFrame([(n, fill(n, f"i{n}w")) for n in lengths], "item_id long, text string")
+    rows, want = [], set()
+    for n in lengths:
+        for k in range(0, 4):
+            for way in list(combinations(range(n), k))[:: 1 if k < 3 else 7]:
+                if k <= (n * (WINDOW - LEAST) // WINDOW if n >= WHOLE else 0):
+                    want.add((len(rows), n))
+                rows.append((len(rows), " ".join(["before", *("other" if i in way else w for i, w in enumerate(fill(n, f"i{n}w").split())), "after"])))
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items, block=block).collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize("block", [1, 40, 10**6])

@@ -13,6 +13,8 @@ from textloom.shared import stored
 
 # Of all ways to replace 4 of 20 words none leaves these without a seed (tests go through them all).
 MASKS = ("1111011", "110010111", "11011101")
+# For items of these numbers of words, what the masks above would lose there (the same tests).
+SHORT = {10: ("10101111", "111100011"), 11: ("110100111",), 12: ("111111001",), 15: ("111000010111",), 16: ("111000010111",)}
 WINDOW, LEAST = 20, 16
 WHOLE = 10
 BLOCK_SEEDS = 1_000_000
@@ -25,14 +27,20 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(hashes: Column, masks: tuple[str, ...], whole: list[int], items: bool) -> Column:
-    """Hash of the picked words at each position, for one mask after another; then of ``whole`` numbers of words in a row, in
-    items only of all their words."""
+def masks_of(n: int, masks: tuple[str, ...]) -> tuple[str, ...]:
+    """Further masks for items of ``n`` words: all their words where no mask fits, and those of ``SHORT``."""
+    return ("1" * n,) if n < min(map(len, masks)) else SHORT.get(n, ())
+
+
+def _seeds(hashes: Column, masks: tuple[str, ...], short: list[int], items: bool) -> Column:
+    """Hash of the picked words at each position, for one mask after another; then for the further masks of items of ``short``
+    numbers of words, which of the items only those have."""
     made, n = [], F.size(hashes)
-    for i, (span, picked) in enumerate([(len(m), [j for j, c in enumerate(m) if c == "1"]) for m in masks] + [(n_words, list(range(n_words))) for n_words in whole]):
-        fits = n == span if items and i >= len(masks) else n >= span
-        at = F.when(fits, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
-        made.append(F.transform(at, _seed_at(hashes, i if i < len(masks) else -span, picked)))
+    further = {m: [k for k in short if m in masks_of(k, masks)] for k in short for m in masks_of(k, masks)}
+    for i, (mask, only) in enumerate([(m, None) for m in masks] + [*further.items()]):
+        fits = n.isin(only) if items and only else n >= len(mask)
+        at = F.when(fits, F.sequence(F.lit(0), n - len(mask))).otherwise(F.array().cast("array<int>"))
+        made.append(F.transform(at, _seed_at(hashes, i if only is None else -int(mask, 2), [j for j, c in enumerate(mask) if c == "1"])))
     return F.concat(*made)
 
 
@@ -40,9 +48,9 @@ def _seed_at(hashes: Column, mask: int, picked: list[int]):
     return lambda k: F.struct(k.alias("at"), F.xxhash64(F.lit(mask), *[hashes[k + j] for j in picked]).alias("seed"))
 
 
-def seeds(table: DataFrame, key: str, text: str, masks: tuple[str, ...] = MASKS, whole: list[int] = [], items: bool = False) -> DataFrame:  # noqa: B006
+def seeds(table: DataFrame, key: str, text: str, masks: tuple[str, ...] = MASKS, short: list[int] = [], items: bool = False) -> DataFrame:  # noqa: B006
     hashed = table.select(key, F.transform(words(text), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.select(key, F.explode(_seeds(F.col("h"), masks, whole, items)).alias("s")).select(key, "s.seed", "s.at")
+    return hashed.select(key, F.explode(_seeds(F.col("h"), masks, short, items)).alias("s")).select(key, "s.seed", "s.at")
 
 
 def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...], block: int) -> DataFrame:
@@ -50,10 +58,10 @@ def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...], block: int
 
     The benchmark's seeds are broadcast in blocks of about ``block``, each against all texts; beyond ``BLOCKS`` of those both
     sides are shuffled instead, as making the texts' seeds time and again costs more than to move them once."""
-    short = F.size(words("text"))
-    whole = sorted(r.n for r in items.select(short.alias("n")).where((F.col("n") > 0) & (F.col("n") < min(map(len, masks)))).distinct().collect())  # few numbers
-    known = stored(seeds(items, "item_id", "text", masks, whole, items=True).withColumnRenamed("at", "item_at"), "seeds")
-    n, of_texts = known.count(), seeds(texts, "key", "text", masks, whole)
+    held = items.select(F.size(words("text")).alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect()  # few numbers
+    short = sorted(r.n for r in held if masks_of(r.n, masks))
+    known = stored(seeds(items, "item_id", "text", masks, short, items=True).withColumnRenamed("at", "item_at"), "seeds")
+    n, of_texts = known.count(), seeds(texts, "key", "text", masks, short)
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if n > block * BLOCKS:
         return of_texts.join(known, "seed").select("key", "item_id", shift).distinct()
@@ -100,7 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     one of fewer than ``WHOLE`` words word for word.
 
     One row for each pair, the shift with the most matches (then the smallest). No substitution pattern in 20 words is lost,
-    and for shorter items only 23 of the patterns in 10, 11, 12, 15 and 16 words. Null and empty texts share nothing, and rows
+    and none in shorter items. Null and empty texts share nothing, and rows
     with a null id have no name to be reported under. Very long texts are read whole. Rows that repeat add no result. Other
     columns are left out, whatever their names; where a table is empty there are no rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("key"), "text").where("key is not null")

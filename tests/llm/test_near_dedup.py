@@ -125,3 +125,21 @@ def test_one_row_of_each_group(spark, monkeypatch, broadcast):
     want = [(1, a), (1, b), (5, "one two"), (7, "Three  four"), (None, "five"), (None, None), (8, " \n"), (6, rows[-1][1])]
     assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
     assert one_of_each(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limits", [{"NEAREST": 1, "RUN": 8, "OVERLAP": 1}, {"HOT": 50, "RUN": 4096}])
+def test_no_link_is_left_out_where_buckets_are_crowded(spark, monkeypatch, limits):
+    """Unlike texts with one long passage in common fill all buckets, and a chain leads through each of a few families."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    common, texts = words(170), []
+    for _ in range(20):
+        own = words(50)
+        for i in range(6):
+            texts.append(" ".join(common + words(3 * i) + own[3 * i :]))
+    texts += [" ".join(common + words(50)) for _ in range(180)]
+    want, links = brute_groups(dict(enumerate(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    assert {r.row: r.group for r in near_groups(rows).collect()} == want and links >= 100

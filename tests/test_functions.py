@@ -139,3 +139,22 @@ def test_records_and_ranks(spark):
 def test_open_entities(spark):
     names = ["amp", "copy", "quot"]
     assert values(spark, ["a&&&amp</title>", "&amp;quot; &quot;&copy;&copy", "&lt;&am", None], html.closed_entities("t", names)) == ["a&&&amp</title>", "&quot; \"©&copy", "&lt;&am", None]
+
+
+def test_nearest_is_that_of_all_stretches():
+    names = sorted({v for _, v in fuzzy.d.PROGRAMS})
+    texts = ["", "a", "mar", "ket", "xx marketin", "ke toan va bao chi", "Kế toán " * 9, "tin Công nghệ thông", "khoa hoc du lieu " + "z" * 90 + " quan hệ công", "q" * 200]
+
+    def plain(text):
+        likes = [(fuzzy.partial_ratio(text, n), n) for n in names]
+        return min((-x, n) for x, n in likes)[1] if max(likes)[0] >= 70 else ""
+
+    assert [fuzzy.nearest(x, names) for x in texts] == [plain(x) for x in texts]
+
+
+def test_python_functions_get_rows_in_small_groups(spark):
+    """A pandas function would get thousands of long texts at once."""
+    df = spark.range(1).select(F.lit("<p>a</p>").alias("t"), F.array(F.array(F.lit("1234567"))).alias("cells"))
+    used = [T.clean_content("t"), T.chunks("t"), html.html_to_text("t", "t"), html.unescape("t"), tables.tables_to_text("t"), tables.table_records("cells"), Q.bare_letters("t"), fuzzy.intent("t"), fuzzy.nearest_program("t")]
+    plan = df.select(*used)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textloom.functions import dictionaries as d
+from textloom.functions.rows import by_row
 from textloom.functions.text import col, contains_any, rule_tags, strip
 
 _FROM = "".join(letters for _, letters in d.ACCENTS)
@@ -21,16 +21,12 @@ def fold_accents(c: Column | str) -> Column:
     return F.translate(F.lower(strip(c)), _FROM, _TO)
 
 
-@F.pandas_udf(StringType())
-def bare_letters(text: pd.Series) -> pd.Series:
+@by_row(StringType())
+def bare_letters(text: str | None) -> str | None:
     """Lower case without combining marks, whether they stand alone or in a letter; no built-in function takes letters apart."""
-
-    def one(t: str | None) -> str | None:
-        if t is None or t.isascii():
-            return t and t.lower()
-        return re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", t.lower())).replace("đ", "d")
-
-    return text.map(one)
+    if text is None or text.isascii():
+        return text and text.lower()
+    return re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", text.lower())).replace("đ", "d")
 
 
 def squash(c: Column | str) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from textloom.functions import dictionaries as d
+from textloom.functions.rows import by_row
 
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -128,9 +128,9 @@ def clean_content(c: Column | str, markers: list[str] = d.FOOTERS, junk: list[st
     lines of the step before several times over."""
     words = set(junk)
 
-    @F.pandas_udf(StringType())
-    def cleaned(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else _cleaned(t, markers, words))
+    @by_row(StringType())
+    def cleaned(text: str | None) -> str | None:
+        return None if text is None else _cleaned(text, markers, words)
 
     return cleaned(col(c))
 
@@ -223,11 +223,11 @@ def chunks(c: Column | str, size: int = CHUNK, overlap: int = OVERLAP, tail: int
     """Overlapping chunks of whole lines: one ends once its lines come to ``size`` characters, the next starts with the
     shortest run of its last lines that come to ``overlap``. A short last piece joins the chunk before; '' has no chunks.
 
-    One pass over the lines of a batch of texts: as a fold over an array each line would copy the lines held so far."""
+    One pass over the lines of a text: as a fold over an array each line would copy the lines held so far."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else _chunked(t, size, overlap, tail))
+    @by_row(ArrayType(StringType()))
+    def cut(text: str | None) -> list[str] | None:
+        return None if text is None else _chunked(text, size, overlap, tail)
 
     return cut(col(c))
 

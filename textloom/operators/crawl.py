@@ -17,6 +17,7 @@ from pyspark.sql import types as t
 from textloom.functions import ocr
 from textloom.functions.html import LEAST, html_to_text
 from textloom.functions.links import extension_of, file_links, hrefs, is_under, joined, normal_url
+from textloom.functions.rows import by_row
 from textloom.functions.tables import table_records
 from textloom.shared import stored
 
@@ -199,20 +200,17 @@ def pictures_in_pages(pages: DataFrame, texts: DataFrame) -> DataFrame:
     for, so that what follows reads them as part of the page. Pictures of a page come together, pages do not."""
     known = texts.groupBy("url").agg(F.collect_list(F.struct("picture", "text")).alias("_read"))
 
-    @F.pandas_udf(t.StringType())
-    def placed(url: pd.Series, html: pd.Series, read: pd.Series) -> pd.Series:
-        def one(base: str, page: str | None, found) -> str | None:
-            if page is None or found is None:
-                return page
-            by = {r["picture"]: r["text"] for r in found}
+    @by_row(t.StringType())
+    def placed(base: str, page: str | None, found) -> str | None:
+        if page is None or found is None:
+            return page
+        by = {r["picture"]: r["text"] for r in found}
 
-            def text_of(m: re.Match) -> str:
-                src = SOURCE.search(m[0])
-                text = by.get(urljoin(base, escape.unescape(src[1].strip()))) if src else None
-                return m[0] if text is None else f"<p>{escape.escape(text, quote=False)}</p>"
+        def text_of(m: re.Match) -> str:
+            src = SOURCE.search(m[0])
+            text = by.get(urljoin(base, escape.unescape(src[1].strip()))) if src else None
+            return m[0] if text is None else f"<p>{escape.escape(text, quote=False)}</p>"
 
-            return IMAGE.sub(text_of, page)
-
-        return pd.Series([one(*x) for x in zip(url, html, read, strict=True)], dtype=object)
+        return IMAGE.sub(text_of, page)
 
     return pages.join(known, "url", "left").withColumn("html", placed("url", "html", "_read")).select(pages.columns)

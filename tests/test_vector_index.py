@@ -97,3 +97,23 @@ def test_odd_rows(spark, tmp_path):
     assert vi.search(index, df.limit(0), "vec_id").collect() == []
     with pytest.raises(ValueError):
         vi.build(df.limit(0), "vec_id", f"file://{tmp_path}/none")
+
+
+def test_far_cells_give_only_what_may_be_a_candidate(spark, tmp_path, monkeypatch):
+    """The same rows as if all cells were scanned at once, and far fewer on the way."""
+    df = frame(spark, clustered(3000, 16))
+    index = vi.build(df, "vec_id", f"file://{tmp_path}/index", cells=40)
+    passed, best = [], vi._best
+
+    def counted(scored, limit, score="score"):
+        if score == "near":
+            passed.append(scored.count())
+        return best(scored, limit, score)
+
+    monkeypatch.setattr(vi, "_best", counted)
+    found = {}
+    for first in (40, 4):
+        passed.clear()
+        monkeypatch.setattr(vi, "FIRST", first)
+        found[first] = got(vi.search(index, df.where("vec_id % 50 = 0"), "vec_id", 5, probe=40, candidates=20)), sum(passed)
+    assert found[4][0] == found[40][0] and found[4][1] < found[40][1] / 2

@@ -23,6 +23,8 @@ SAMPLE, MOST_CELLS, CODE_BYTES, ROUNDS = 65_536, 16_384, 16, 12
 # Vectors and queries that meet in one task, candidates scored exactly; how many of the sample's ten nearest must lie in the
 # cells that are opened, and queries that measure it.
 PART_ROWS, BLOCK, CANDIDATES, RECALL, MEASURED = 50_000, 500, 200, 0.98, 256
+# Cells nearest to a query that are scanned first: others only give what is better than the worst candidate of these.
+FIRST = 8
 
 
 class Model(NamedTuple):
@@ -199,7 +201,8 @@ def _queries(queries: DataFrame, query: str, vector: str) -> DataFrame:
 
 def search(index: VectorIndex, queries: DataFrame, query: str, limit: int = 10, vector: str = "embedding", probe: int | None = None, candidates: int = CANDIDATES) -> DataFrame:
     """query, key, score, rank of the ``limit`` best of each query among ``candidates`` rows of its ``probe`` nearest cells
-    (as many as the sample asks for, unless given).
+    (as many as the sample asks for, unless given). The ``FIRST`` cells give the candidates of a query as they are; from the
+    others a row can only be one if it is at least as near as the last of those, so fewer rows are shuffled and none is lost.
 
     Queries without a direction, or of another length than the index, have no rows. What is broadcast has a row a cell."""
     spark, model = queries.sparkSession, index.model
@@ -211,10 +214,11 @@ def search(index: VectorIndex, queries: DataFrame, query: str, limit: int = 10,
             at, v = unit(batch.column("asked"), model.dim)
             far = (model.centres * model.centres).sum(1) - 2 * v @ model.centres.T
             near = np.argpartition(far, known - 1, axis=1)[:, :known] if len(v) else np.zeros((0, known), int)
+            near = np.take_along_axis(near, np.take_along_axis(far, near, 1).argsort(1), 1)
             each = np.repeat(np.arange(len(v)), known)
-            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(at[each])), pa.array(list(v[each]), pa.list_(pa.float32())), pa.array(near.ravel(), pa.int32())], ["query", "asked", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(at[each])), pa.array(list(v[each]), pa.list_(pa.float32())), pa.array(near.ravel(), pa.int32()), pa.array(np.tile(np.arange(known), len(v)), pa.int32())], ["query", "asked", "cell", "place"])
 
-    probes = stored(asked.mapInArrow(cells_of, f"query {kind}, asked array<float>, cell int"), "probes")
+    probes = stored(asked.mapInArrow(cells_of, f"query {kind}, asked array<float>, cell int, place int"), "probes")
     counts = {r.cell: r.n for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each cell
     opened = {c: n for c, n in counts.items() if c in index.parts}
     blocks = {c: -(-n // BLOCK) for c, n in opened.items()}
@@ -230,6 +234,7 @@ def search(index: VectorIndex, queries: DataFrame, query: str, limit: int = 10,
             return pa.table([ask["query"].slice(0, 0), held["key"].slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.float64())], names)
         q = ask["asked"].combine_chunks().flatten().to_numpy().reshape(-1, model.dim)
         code = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(held.num_rows, -1)
+        least = ask["least"].to_numpy()
         order, found = _ordered(held["key"]), []
         for lo in range(0, len(q), 32):  # bounds the scores in memory
             part_of = _split(q[lo : lo + 32], len(model.codebooks))
@@ -237,15 +242,26 @@ def search(index: VectorIndex, queries: DataFrame, query: str, limit: int = 10,
             for j, book in enumerate(model.codebooks):
                 score += (part_of[:, j] @ book.T)[:, code[:, j]]
             row, col = _top(score, order, candidates)
+            may = score[row, col] >= least[row + lo]
+            row, col = row[may], col[may]
             found.append((row + lo, col, score[row, col]))
         row, col, near = (np.concatenate(x) for x in zip(*found, strict=True))
         n = len(row)
         return pa.table([ask["query"].take(pa.array(row)), held["key"].take(pa.array(col)), pa.array(np.full(n, cell, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(near.astype(np.float64))], names)
 
     by = ["cell", "part", "block"]
-    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(scan, f"query {kind}, key {named}, cell int, part int, near double")
-    few = stored(_best(met, candidates, "near").select("query", "key", "cell", "part"), "candidates")
-    exact = few.join(rows.select("cell", "part", "key", "vector"), ["cell", "part", "key"]).join(asked, "query")
+
+    def scanned(left: DataFrame) -> DataFrame:
+        met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(scan, f"query {kind}, key {named}, cell int, part int, near double")
+        return _best(met, candidates, "near").select("query", "key", "cell", "part", "near")
+
+    lowest = F.lit(float("-inf"))
+    few = stored(scanned(left.where(F.col("place") < FIRST).withColumn("least", lowest)), "candidates")
+    if known > FIRST:
+        full = few.groupBy("query").agg(F.when(F.count(F.lit(1)) >= candidates, F.min("near")).alias("least"))
+        rest = left.where(F.col("place") >= FIRST).join(full, "query", "left").withColumn("least", F.coalesce("least", lowest))
+        few = stored(_best(few.union(scanned(rest)), candidates, "near"), "candidates")
+    exact = few.select("query", "key", "cell", "part").join(rows.select("cell", "part", "key", "vector"), ["cell", "part", "key"]).join(asked, "query")
     scored = exact.select("query", "key", cosine_score("asked", "vector").alias("score")).where("score is not null")
     return _best(scored, limit).select("query", "key", "score", "rank")
 

@@ -158,3 +158,12 @@ def test_python_functions_get_rows_in_small_groups(spark):
     used = [T.clean_content("t"), T.chunks("t"), html.html_to_text("t", "t"), html.unescape("t"), tables.tables_to_text("t"), tables.table_records("cells"), Q.bare_letters("t"), fuzzy.intent("t"), fuzzy.nearest_program("t")]
     plan = df.select(*used)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_normalized_texts_are_worked_out_once(spark):
+    from textloom.operators import corpus
+
+    docs = spark.createDataFrame([("a/x_1.md", "one  text"), ("a/x_2.md", "one text"), ("b/x_3.md", None)], "path string, value string")
+    made = corpus.normalize(docs)
+    assert "BatchEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.path: r.status for r in made.collect()} == {"a/x_1.md": "ok", "a/x_2.md": "dup", "b/x_3.md": "ok"}

@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.html import unescape
 from textloom.functions.tables import tables_to_text
+from textloom.shared import stored
 
 STEPS = ("meta", "clean_content", "clean_html", "tables", "metadata", "dedup", "synonyms")
 
 
-def dedup_by_content(docs: DataFrame, content: str, file: str, order: list[Column], state: DataFrame | None = None) -> DataFrame:
+def dedup_by_content(docs: DataFrame, content: str, file: str, order: list[Column], state: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """``docs`` with hash, owner and status ('ok' or 'dup').
 
     A text belongs to the file that ``state`` (hash, owner_filename) names, else to the first in ``order``; a row under its
     owner's name is no duplicate. Rows are grouped by hash with the least row of each taken before the shuffle, so a text
-    that many rows share is no burden to one task."""
+    that many rows share is no burden to one task. Both the owners and the rows need what ``docs`` works out; with ``keep``
+    it is stored, else worked out twice."""
     hashed = docs.withColumn("hash", T.content_hash(content))
+    hashed = stored(hashed, "hashed") if keep else hashed
     first = hashed.groupBy("hash").agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(file).alias("file"))).alias("first"))
     owners = first.select("hash", F.col("first.file").alias("first_file"))
     if state is not None:
@@ -75,7 +78,7 @@ def normalize(docs: DataFrame, steps: tuple[str, ...] = STEPS, state: DataFrame
         tags, year = F.array_sort(F.array_union(T.detect_tags("content"), folders)), T.detect_year("content")
     df = df.withColumns({"tags": tags, "year": year})
     if "dedup" in steps:
-        df = dedup_by_content(df, "content", "filename", [F.split("path", "/")], state)
+        df = dedup_by_content(df, "content", "filename", [F.split("path", "/")], state, keep=True)
     else:
         df = df.withColumns({"hash": T.content_hash("content"), "status": F.lit("ok")})
     if "synonyms" in steps:

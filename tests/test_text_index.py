@@ -95,3 +95,17 @@ def test_odd_rows_and_small_blocks(spark, tmp_path, monkeypatch):
     assert ti.search(index, "istanbul").count() == 100 == df.where(F.col("text").rlike("(?iu)istanbul")).count()
     empty = ti.build(df.limit(0), "doc_id", f"file://{tmp_path}/empty")
     assert ti.search(empty, "number").collect() == [] and ti.search(empty, ".").collect() == []
+
+
+@given(st.lists(st.text(alphabet="abé\U0001f600İ ", max_size=12), max_size=8))
+def test_postings_are_those_of_each_trigram(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * len(texts), pa.int64()), pa.array(texts, pa.string())], ["block", "text"])
+    fold, want = ti.Folder(), {}
+    for i, t in enumerate(texts):
+        for g in ti.trigrams(fold(t)):
+            want.setdefault(g, []).append(i)
+    got = [r for b in ti._postings(iter([batch])) for r in b.to_pylist()]
+    assert [r["gram"] for r in got] == sorted(want)
+    assert all(np.flatnonzero(ti.unpacked(r["data"], r["size"])).tolist() == want[r["gram"]] and (r["block"], r["size"]) == (3, len(texts)) for r in got)

@@ -202,13 +202,27 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
     return out
 
 
+def codes(folded: str) -> np.ndarray:
+    """A number for each distinct trigram of a text, in order of the trigrams: 21 bits a character."""
+    c = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def gram_of(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of a block, once its last text is seen; texts come by block and place."""
-    fold, now, held, size = Folder(), None, {}, 0
+    fold, now, held = Folder(), None, []
 
     def out() -> pa.RecordBatch:
-        grams = sorted(held)
-        data = [packed(np.array(held[g]), size) for g in grams]
+        size, made = len(held), np.concatenate(held)
+        order = np.argsort(made, kind="stable")
+        made, places = made[order], np.repeat(np.arange(size), [len(x) for x in held])[order]
+        first = np.flatnonzero(np.r_[True, made[1:] != made[:-1]][: len(made)])
+        grams = [gram_of(x) for x in made[first].tolist()]
+        data = [packed(places[lo:hi], size) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(made)], strict=False)]
         n = len(grams)
         return pa.RecordBatch.from_arrays([pa.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], pa.int32()), pa.array(grams, pa.string()), pa.array([now] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(data, pa.binary())], ["bucket", "gram", "block", "size", "data"])
 
@@ -217,10 +231,8 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block != now:
                 if held:
                     yield out()
-                now, held, size = block, {}, 0
-            for g in trigrams(fold(text.as_py() or "")):
-                held.setdefault(g, []).append(size)
-            size += 1
+                now, held = block, []
+            held.append(codes(fold(text.as_py() or "")))
     if held:
         yield out()
 

@@ -1,9 +1,10 @@
+import random
 import re
 from itertools import combinations
 
 import pytest
 
-from textloom.llm.decontaminate import LEAST, MASKS, WHOLE, WINDOW, contaminated, decontaminated, masks_of
+from textloom.llm.decontaminate import LEAST, MASKS, WHOLE, WINDOW, anchored_seeds, contaminated, decontaminated, masks_of, seeds
 from textloom.shared import table
 
 DOCS = "doc_id long, text string, item_id long, w string"
@@ -105,3 +106,19 @@ def test_blocks_and_shuffles_agree(spark, block):
     assert got == {(0, 1, 50, 24), (1, 1, 5, 21), (5, 1, 0, 24), (7, 2, 0, 9), (7, 4, 4, 2), (7, 5, 3, 5)}
     kept = decontaminated(docs(spark).selectExpr("*", "1 as key", "2 as shift"), both, block=block)
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6, 8] and kept.columns == ["doc_id", "text", "item_id", "w", "key", "shift"]
+
+
+def test_seeds_of_texts_are_made_only_near_what_the_benchmark_has(spark):
+    some = random.Random(5)
+    text = lambda n: " ".join(some.choice("abcdefghij") for _ in range(n))
+    made = {n: text(n) for n in (1, 2, 5, 10, 12, 15, 16, 30)}
+    items = spark.createDataFrame([*made.items()], "item_id long, text string")
+    texts = [(i, f"{text(i % 7)} {made[[*made][i % 8]][i // 16 :]} {text(i % 5)}") for i in range(200)] + [(200, fill(5_000, "v")), (201, "")]
+    for few, least in (([1, 2, 5, 10, 12, 15, 16], 1), ([10, 12, 15, 16], 3)):
+        held = items.where(items.item_id.isin([*few, 30]))
+        there = spark.createDataFrame(texts, "key long, text string")
+        known = seeds(held, "item_id", "text", MASKS, few, items=True).select("seed").distinct()
+        rows = lambda made: sorted(map(tuple, made.join(known, "seed").select("key", "seed", "at").collect()))
+        got = anchored_seeds(there, held, MASKS, few, 10**6)
+        assert rows(got) == rows(seeds(there, "key", "text", MASKS, few)) != []
+        assert got.where("key >= 200").isEmpty() and anchored_seeds(there, held, MASKS, few, least) is None

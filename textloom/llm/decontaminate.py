@@ -2,7 +2,9 @@
 
 A mask picks some of the words in a short window and ignores the rest, so that a seed also matches where ignored words
 were replaced. Seeds of the benchmark meet those of all documents in a join; every hit gives a document, an item and the
-shift between them, and along that shift the words are compared one by one."""
+shift between them, and along that shift the words are compared one by one.
+
+Every mask picks some words in a row; seeds of texts are made only where these words stand in a row in the benchmark too."""
 
 from __future__ import annotations
 
@@ -17,6 +19,7 @@ MASKS = ("1111011", "110010111", "11011101")
 SHORT = {10: ("10101111", "111100011"), 11: ("110100111",), 12: ("111111001",), 15: ("111000010111",), 16: ("111000010111",)}
 WINDOW, LEAST = 20, 16
 WHOLE = 10
+ANCHOR = 3  # words in a row, of those that a mask picks
 BLOCK_SEEDS = 1_000_000
 BLOCKS = 4
 BLOCK_ROWS = 1_000_000
@@ -32,15 +35,20 @@ def masks_of(n: int, masks: tuple[str, ...]) -> tuple[str, ...]:
     return ("1" * n,) if n < min(map(len, masks)) else SHORT.get(n, ())
 
 
+def _numbered(masks: tuple[str, ...], short: list[int]) -> list[tuple[int, str, list[int] | None]]:
+    """Number and mask; for the further masks of items of ``short`` numbers of words also which of these numbers have it."""
+    further = {m: [k for k in short if m in masks_of(k, masks)] for k in short for m in masks_of(k, masks)}
+    return [(i, m, None) for i, m in enumerate(masks)] + [(-int(m, 2), m, only) for m, only in further.items()]
+
+
 def _seeds(hashes: Column, masks: tuple[str, ...], short: list[int], items: bool) -> Column:
     """Hash of the picked words at each position, for one mask after another; then for the further masks of items of ``short``
     numbers of words, which of the items only those have."""
     made, n = [], F.size(hashes)
-    further = {m: [k for k in short if m in masks_of(k, masks)] for k in short for m in masks_of(k, masks)}
-    for i, (mask, only) in enumerate([(m, None) for m in masks] + [*further.items()]):
+    for number, mask, only in _numbered(masks, short):
         fits = n.isin(only) if items and only else n >= len(mask)
         at = F.when(fits, F.sequence(F.lit(0), n - len(mask))).otherwise(F.array().cast("array<int>"))
-        made.append(F.transform(at, _seed_at(hashes, i if only is None else -int(mask, 2), [j for j, c in enumerate(mask) if c == "1"])))
+        made.append(F.transform(at, _seed_at(hashes, number, [j for j, c in enumerate(mask) if c == "1"])))
     return F.concat(*made)
 
 
@@ -53,6 +61,37 @@ def seeds(table: DataFrame, key: str, text: str, masks: tuple[str, ...] = MASKS,
     return hashed.select(key, F.explode(_seeds(F.col("h"), masks, short, items)).alias("s")).select(key, "s.seed", "s.at")
 
 
+def _around(table: DataFrame, key: str, text: str, before: int, size: int) -> DataFrame:
+    """key, at and w0, w1 ... of each word: hashes of ``size`` words, ``before`` of them before it; null beyond the text's ends."""
+    hashes = F.concat(F.array_repeat(F.lit(None).cast("long"), before), F.transform(words(text), lambda w: F.xxhash64(w)))
+    each = [F.slice("h", i + 1, F.size("h") + 1).alias(f"w{i}") for i in range(size)]
+    at = F.sequence(F.lit(0), F.size("h") - before).alias("at")
+    return table.select(key, hashes.alias("h")).select(key, F.inline(F.arrays_zip(at, *each))).where(F.col(f"w{before}").isNotNull())
+
+
+def anchored_seeds(texts: DataFrame, items: DataFrame, masks: tuple[str, ...], short: list[int], block: int) -> DataFrame | None:
+    """Those of the seeds of ``texts`` that the items may have too: where some words in a row, which the mask picks, are in a
+    row in an item. None if there are more than ``block`` of such places in the items."""
+    numbered = _numbered(masks, short)
+    width = min(ANCHOR, *(max(map(len, m.split("0"))) for _, m, _ in numbered))
+    place = {m: m.rindex("1" * width) for _, m, _ in numbered}
+    before, after = max(place.values()), max(len(m) - p for m, p in place.items())
+    row = lambda at: [F.col(f"w{at + j}") for j in range(width)]
+    anchors = _around(items, "item_id", "text", 0, width).where(row(0)[-1].isNotNull()).select(F.xxhash64(*row(0)).alias("anchor"))
+    anchors = stored(anchors.distinct(), "anchors")
+    if anchors.count() > block:
+        return None
+    there = _around(texts, "key", "text", before, before + after).where(row(before)[-1].isNotNull()).withColumn("anchor", F.xxhash64(*row(before)))
+    made = []
+    for number, mask, _ in numbered:
+        start = before - place[mask]
+        picked = [F.col(f"w{start + j}") for j, c in enumerate(mask) if c == "1"]
+        seed = F.struct((F.col("at") - place[mask]).alias("at"), F.xxhash64(F.lit(number), *picked).alias("seed"))
+        made.append(F.when((F.col("at") >= place[mask]) & F.col(f"w{start + len(mask) - 1}").isNotNull(), seed))
+    met = there.join(F.broadcast(anchors), "anchor", "left_semi")
+    return met.select("key", F.explode(F.array_compact(F.array(*made))).alias("s")).select("key", "s.seed", "s.at")
+
+
 def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...], block: int) -> DataFrame:
     """key, item_id, shift of every seed that a text shares with an item.
 
@@ -61,7 +100,8 @@ def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...], block: int
     held = items.select(F.size(words("text")).alias("n")).where((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct().collect()  # few numbers
     short = sorted(r.n for r in held if masks_of(r.n, masks))
     known = stored(seeds(items, "item_id", "text", masks, short, items=True).withColumnRenamed("at", "item_at"), "seeds")
-    n, of_texts = known.count(), seeds(texts, "key", "text", masks, short)
+    n, of_texts = known.count(), anchored_seeds(texts, items, masks, short, block)
+    of_texts = seeds(texts, "key", "text", masks, short) if of_texts is None else of_texts
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if n > block * BLOCKS:
         return of_texts.join(known, "seed").select("key", "item_id", shift).distinct()

@@ -143,3 +143,12 @@ def test_no_link_is_left_out_where_buckets_are_crowded(spark, monkeypatch, limit
     want, links = brute_groups(dict(enumerate(texts)))
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     assert {r.row: r.group for r in near_groups(rows).collect()} == want and links >= 100
+
+
+def test_proposals_within_a_group_are_not_settled_again(spark, monkeypatch):
+    settled, linked = [], near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda proposed, *more: settled.append(proposed.count()) or linked(proposed, *more))
+    family = [" ".join("other" if k == i + 7 else f"w{k}" for k in range(200)) for i in range(120)]
+    rows = spark.createDataFrame(list(enumerate(family)), "row long, text string")
+    assert {r.group for r in near_groups(rows).collect()} == {0}
+    assert sum(settled) < 2 * len(family)  # over four for each document, were all proposals settled

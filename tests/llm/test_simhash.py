@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from textloom.llm.components import connected_components
+from textloom.llm.components import connected_components, joined_components
 from textloom.llm.simhash import GrayIndex, fingerprint, near_links, simhash_groups
 
 DOCS = "doc_id long, text string, fp string, root long"
@@ -83,3 +83,12 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(links).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_components_are_joined_by_further_links(spark):
+    rng = np.random.default_rng(3)
+    made = [tuple(map(int, x)) for x in rng.integers(0, 300, (150, 2))]
+    first, more = (spark.createDataFrame(x, "a long, b long") for x in (made[:70], made[70:]))
+    got = {r.node: r.root for r in joined_components(connected_components(first), more).collect()}
+    assert got == {r.node: r.root for r in connected_components(first.union(more)).collect() if r.node in got} and len(set(got.values())) < len(got)
+    assert {x for a, b in made if a != b for x in (a, b)} <= set(got)

@@ -167,3 +167,10 @@ def test_normalized_texts_are_worked_out_once(spark):
     made = corpus.normalize(docs)
     assert "BatchEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
     assert {r.path: r.status for r in made.collect()} == {"a/x_1.md": "ok", "a/x_2.md": "dup", "b/x_3.md": "ok"}
+
+
+def test_white_space_is_found_without_a_search_of_the_whole_text(spark):
+    texts = ["", " ", "\n\x1c  ", "a", " a \x1f b \n", "a\n", "\x85a\r\n\r\n", "a \x00", "​a 　", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("t", (T.strip("t") == "").alias("none"), T.blank("t").alias("blank"), T.rstrip("t").alias("right"), F.regexp_replace("t", r"(?U)[\s\x1c-\x1f]+$", "").alias("want"), T.content_hash("t").alias("hash"), F.md5(F.regexp_replace(T.strip("t"), r"(?U)[\s\x1c-\x1f]+", " ")).alias("whole")).collect()
+    assert [(r.blank, r.right, r.hash) for r in rows] == [(r.none, r.want, r.whole) for r in rows]

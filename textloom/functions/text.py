@@ -28,6 +28,16 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), EDGES, "")
 
 
+def blank(c: Column | str) -> Column:
+    """Whether ``strip`` leaves nothing; it need not go through the whole text to know."""
+    return ~col(c).rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
+def rstrip(c: Column | str) -> Column:
+    """Without white space of any script at the end; only texts that have some there are searched."""
+    return F.when(F.substring(col(c), -1, 1).rlike(r"(?U)[\s\x1c-\x1f]"), F.regexp_replace(col(c), r"(?U)[\s\x1c-\x1f]+$", "")).otherwise(col(c))
+
+
 def bound(c: Column, f: Callable[[Column], Column]) -> Column:
     """``f(c)`` with ``c`` worked out once: functions over arrays work their arguments out anew at each mention."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -195,7 +205,7 @@ def folder_tags(root: Column | str, relative: Column | str) -> Column:
 
 
 def content_hash(c: Column | str) -> Column:
-    return F.md5(F.regexp_replace(strip(c), r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.md5(F.trim(F.regexp_replace(col(c), r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
 def _chunked(text: str, size: int, overlap: int, tail: int) -> list[str]:

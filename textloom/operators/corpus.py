@@ -99,8 +99,8 @@ def normalized_file(df: DataFrame, steps: tuple[str, ...] = STEPS) -> DataFrame:
     lines = [F.lit("[TITLE]"), F.col("title"), F.lit(""), F.lit("[URL]"), F.col("url"), F.lit("")] if "meta" in steps else []
     lines += [meta, F.lit("")] if "metadata" in steps or "dedup" in steps else []
     lines += [F.lit("---"), F.lit("")] if lines else []
-    text = F.concat(F.regexp_replace(F.concat_ws("\n", *lines, "content"), r"(?U)[\s\x1c-\x1f]+$", ""), F.lit("\n"))
-    return df.where("status = 'ok'").select("path", text.alias("value"))
+    made = df.where("status = 'ok'").select("path", F.concat_ws("\n", *lines, "content").alias("value"))
+    return made.select("path", F.concat(T.rstrip("value"), F.lit("\n")).alias("value"))
 
 
 def chunk_rows(docs: DataFrame, content: str, keep: list[str], size: int = T.CHUNK, overlap: int = T.OVERLAP) -> DataFrame:

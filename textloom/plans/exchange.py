@@ -34,7 +34,7 @@ def _files(spark, sf_dir):
 @query(f"select lang || '/' || source || '_' || doc_id || '.md' as path, md5('[META]' || chr(10) || 'school: ' || source || chr(10) || 'tags: ' || lang || chr(10) || 'year: ' || chr(10) || 'hash: ' || {_HASH} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(text, '\\s+$', '') || chr(10)) as body from documents where {_STRIP.format('text')} <> ''")
 def written_files(spark, sf_dir):
     """Normalized files, one for each document in its own folder, read back."""
-    docs = _files(spark, sf_dir).where(T.strip("value") != "")
+    docs = _files(spark, sf_dir).where(~T.blank("value"))
     school, tags = T.school_of_file(F.element_at(F.split("path", "/"), -1)), F.array(F.split_part("path", F.lit("/"), F.lit(1)))
     made = docs.select("path", school.alias("school"), tags.alias("tags"), F.lit(None).cast("int").alias("year"), T.content_hash("value").alias("hash"), F.lit("ok").alias("status"), F.col("value").alias("content"), F.lit("t").alias("title"), F.lit("u").alias("url"))
     root = shared_path(spark, "files")

@@ -1,8 +1,11 @@
 """Document quality by Bradley-Terry ranking.
 
-Each text becomes a few measures of its characters, words and lines. From preference pairs (a good and a bad labelled
-document) the logistic loss on the difference of their measures gives the weights; a document's strength is its weighted
-sum, put on a scale from 0 to 1 by one more logistic fit."""
+Each text becomes a few measures of its characters, words and lines. From preference pairs (every good with every bad
+labelled document) the logistic loss on the difference of their measures gives the weights; a document's strength is its
+weighted sum, put on a scale from 0 to 1 by one more logistic fit.
+
+The pairs are never listed: what a pair adds depends on the two strengths, so documents are summed by class and narrow
+ranges of strength, and ranges are set against ranges."""
 
 from __future__ import annotations
 
@@ -17,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textloom.llm.arrow import pieces
-from textloom.llm.labelled import SAMPLE_ROWS, fold, logistic, sigmoid, training_rows
+from textloom.llm.labelled import fold, newton, quantile, sigmoid, slopes, summed, training_rows
+from textloom.shared import discard, stored
 
-PAIRS = 60_000
+PAIRS = 60_000  # what all pairs weigh together, against the ridge
 PARTS, HELD = 3, 1
 MEASURES = 12
+REACH, STRENGTHS, FINE = 16, 256, 16_384
 
 
 def _classes() -> np.ndarray:
@@ -51,6 +56,11 @@ def measures(texts: list[str]) -> np.ndarray:
     return out
 
 
+def strengths(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row is summed on its own, so that it gets the same strength in any batch."""
+    return ((x - mean) / scale * weights).sum(1)
+
+
 @dataclass
 class Ranking:
     mean: np.ndarray
@@ -62,23 +72,77 @@ class Ranking:
     """The score quantile at the share of bad rows among those learned from."""
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * ((x - self.mean) / self.scale @ self.weights) + self.shift)
+        return sigmoid(self.slope * strengths(x, self.mean, self.scale, self.weights) + self.shift)
+
+
+def _ranges(y: np.ndarray, s: np.ndarray, cols: np.ndarray, ranges: int) -> np.ndarray:
+    """Sums of ``cols`` by class (bad, good) and range of strength; the first and the last range are open."""
+    at = np.clip((s + REACH) * (ranges / 2 / REACH), 0, ranges - 1).astype(np.int64) + ranges * (y == 1)
+    order, out = np.argsort(at, kind="stable"), np.zeros((2 * ranges, cols.shape[1]))
+    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    out[at[order][first]] = np.add.reduceat(cols[order], first)
+    return out.reshape(2, ranges, -1)
+
+
+def _pair_slopes(sums: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Falling gradient and second derivatives of the loss over all pairs, from the sums by class and range of 1, strength,
+    measures and their products. Within a range the loss's slope is taken as a line."""
+    k = len(w)
+    bad, good = (c[c[:, 0] > 0] for c in sums)
+    (n0, s0, z0, zz0), (n1, s1, z1, zz1) = ((c[:, 0], c[:, 1] / c[:, 0], c[:, 2 : k + 2], c[:, k + 2 :].reshape(-1, k, k)) for c in (bad, good))
+    p = sigmoid(s1[:, None] - s0)
+    bend = p * (1 - p)
+    lost1, lost0, bend1, bend0 = (1 - p) @ n0, n1 @ (1 - p), bend @ n0, n1 @ bend
+    falls = lost1 @ z1 - lost0 @ z0 - bend1 @ (zz1 @ w - s1[:, None] * z1) - bend0 @ (zz0 @ w - s0[:, None] * z0)
+    cross = z1.T @ bend @ z0
+    bends = np.tensordot(bend1, zz1, 1) + np.tensordot(bend0, zz0, 1) - cross - cross.T
+    weigh = PAIRS / (n0.sum() * n1.sum())
+    return falls * weigh, bends * weigh
+
+
+def fit(rows: DataFrame) -> Ranking:
+    """From all ``rows`` (label, x) labelled 1 (good) or 0. With rows of one class only there is nothing to rank: every score is
+    that class's share, smoothed."""
+    k, rows = MEASURES, rows.where("label in (0, 1)")
+    total = summed(rows, lambda y, x: np.r_[len(y) - y.sum(), y.sum(), x.sum(0)])
+    bad, good, *sums = total if total is not None else np.zeros(k + 2)
+    n, share = good + bad, (good + 1) / (good + bad + 2)
+    mean, scale = np.zeros(k), np.ones(k)
+    if n:
+        mean = np.array(sums) / n
+        scale = np.sqrt(summed(rows, lambda y, x: ((x - mean) ** 2).sum(0)) / n) + 1e-6
+    if not good or not bad:
+        return Ranking(mean, scale, np.zeros(k), 0.0, float(np.log(share / (1 - share))), 0.0)
 
+    def ranged(y, x, w):
+        z, s = (x - mean) / scale, strengths(x, mean, scale, w)
+        return _ranges(y, s, np.c_[np.ones(len(s)), s, z, (z[:, :, None] * z[:, None]).reshape(len(s), -1)], STRENGTHS)
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Ranking:
-    """With rows of one class only there is nothing to rank: every score is that class's share, smoothed."""
-    k = x.shape[1]
-    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(k), np.ones(k))
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    share = (len(good) + 1) / (len(good) + len(bad) + 2)
-    if not len(good) or not len(bad):
-        return Ranking(mean, scale, np.zeros(k), 0.0, float(np.log(share / (1 - share))), 0.0)
-    z, draw = (x - mean) / scale, np.random.default_rng(seed)
-    differences = z[draw.choice(good, pairs)] - z[draw.choice(bad, pairs)]
-    weights = logistic(differences, np.ones(pairs), ridge=1.0)
-    slope, shift = logistic(np.c_[z @ weights, np.ones(len(z))], y, ridge=1e-3)
+    weights = newton(k, lambda w: _pair_slopes(summed(rows, lambda y, x: ranged(y, x, w)), w), ridge=1.0, least=1e-6)
+
+    def placed(y, x):
+        s = strengths(x, mean, scale, weights)
+        return _ranges(y, s, np.c_[np.ones(len(s)), s], FINE)
+
+    held = summed(rows, placed)
+    known = held[..., 0] > 0
+    weight, label = held[known][:, 0], np.nonzero(known)[0]
+    x = np.c_[held[known][:, 1] / weight, np.ones(len(weight))]
+
+    def at(w):
+        made = slopes(x, label, w, weight)
+        return made[0], made[1:]
+
+    slope, shift = newton(2, at, ridge=1e-3)
     ranking = Ranking(mean, scale, weights, float(slope), float(shift), 0.0)
-    ranking.cut = float(np.quantile(ranking(x), 1 - share))
+
+    def scores(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(ranking(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)), pa.float64())], ["score"])
+
+    made = stored(rows.mapInArrow(scores, "score double"), "scores")
+    ranking.cut = quantile(made, "score", 1 - share)
+    discard(made)
     return ranking
 
 
@@ -87,11 +151,12 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(piece["label"], pa.int32()), pa.array(list(measures(piece["text"])), pa.list_(pa.float64()))], ["label", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ranking:
-    """Learn from at most ``rows`` labelled documents outside the held-out fold; their measures, not their texts, reach the driver."""
-    got = training_rows(docs, labels, "quality", PARTS, HELD, rows).mapInArrow(_measured, "label int, x array<double>").collect()
-    got.sort(key=lambda r: (r.label, r.x))
-    return fit(np.array([r.x for r in got]).reshape(len(got), MEASURES), np.array([r.label for r in got], float))
+def train(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """Learn from all labelled documents outside the held-out fold; sums over their measures reach the driver, no texts and no rows."""
+    rows = stored(training_rows(docs, labels, "quality", PARTS, HELD).mapInArrow(_measured, "label int, x array<double>"), "measured")
+    ranking = fit(rows)
+    discard(rows)
+    return ranking
 
 
 def scored(docs: DataFrame, ranking: Ranking, score: str = "quality_score") -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.arrow import pieces
-from textloom.llm.labelled import SAMPLE_ROWS, fold, logistic, sigmoid, training_rows
+from textloom.llm.labelled import fold, logistic, sigmoid, training_rows
+from textloom.shared import discard, stored
 
 PARTS, HELD = 4, 2
 CUT = 0.3
@@ -154,23 +155,25 @@ class Model(NamedTuple):
         return sigmoid(np.c_[traits(texts, self.insults), np.ones(len(texts))] @ self.weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """From at most ``rows`` labelled documents outside the held-out fold; counts and traits reach the driver, no texts.
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """From all labelled documents outside the held-out fold; sums over them reach the driver, no texts and no rows.
 
     Without a toxic row (or without a clean one) every score is the classes' share, smoothed."""
-    sample = training_rows(docs, labels, "toxic", PARTS, HELD, rows)
-    insults = learn_insults(sample)
+    rows = training_rows(docs, labels, "toxic", PARTS, HELD)
+    insults = learn_insults(rows)
 
     def run(batches):
         for piece in pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(piece["label"], pa.int32()), pa.array(list(traits(piece["text"], insults)), pa.list_(pa.float64()))], ["label", "x"])
 
-    got = sorted(map(tuple, sample.mapInArrow(run, "label int, x array<double>").collect()))
-    x, y = np.array([r[1] for r in got]).reshape(len(got), TRAITS), np.array([r[0] for r in got], float)
-    share = (y.sum() + 1) / (len(y) + 2)
-    if not 0 < y.sum() < len(y):
+    read = stored(rows.mapInArrow(run, "label int, x array<double>"), "traits")
+    n, bad = read.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < bad < n:
+        share = (bad + 1) / (n + 2)
         return Model(insults, np.r_[np.zeros(TRAITS), np.log(share / (1 - share))])
-    return Model(insults, logistic(np.c_[x, np.ones(len(x))], y, ridge=1e-2))
+    model = Model(insults, logistic(read, TRAITS, ridge=1e-2))
+    discard(read)
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

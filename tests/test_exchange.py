@@ -3,6 +3,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from textloom import shared
@@ -12,7 +13,7 @@ from textloom.functions import text as T
 from textloom.operators import corpus, crawl, retrieve
 from textloom.plans import catalog, chat
 from textloom.plans import exchange as E
-from textloom.sources import sinks
+from textloom.sources import readers, sinks
 from tests.test_functions import values
 
 SF = "/root/testdata/sf0.001"
@@ -166,3 +167,25 @@ def test_pictures_stand_in_their_pages(spark):
     texts = spark.createDataFrame([("http://h/a", "http://h/x.png", "1 < 2"), ("http://h/a", "http://h/y.png", "two\nlines"), ("http://h/b", "http://h/x.png", "z")], "url string, picture string, text string")
     got = {r.url: r.html for r in crawl.pictures_in_pages(pages, texts).collect()}
     assert got == {"http://h/a": "<p>1 &lt; 2</p>t<p>two\nlines</p><img>", "http://h/b": None, "http://h/c": "<img src='x.png'>"}
+
+
+def test_files_are_listed_by_executors(spark, tmp_path):
+    odd = {"a.md": b"x\r\ny\n", "b.txt": b"", "c.json": b"{}", ".d.md": b"x", "_e.md": b"x", "_f=1.md": b"x", "g +%20 é.md": b"\xef\xbb\xbfx", "h.md": "é\n".encode(), "i.MD": b"x", "in/k.md": b"deep", "in/n/n/l.txt": b"deeper", "in/_n/m.md": b"x", "in/__pycache__/o.md": b"x", ".in/p.md": b"x", "in.md/q.md": b"x", "k=1/r.md": b"x"}
+    for name, value in odd.items():
+        at = tmp_path / "in+put" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(value)
+    (tmp_path / "none").mkdir()
+    for pattern in ("*.{md,txt}", "*.md", "a.md", "?.md", "[a-h].{md,txt}", "none.md"):
+        for root in (tmp_path / "in+put", f"file://{tmp_path}/in+put/", tmp_path / "none"):
+            rows = readers.text_files(spark, str(root), pattern)
+            assert rows.inputFiles() == []  # no record of each file in the driver
+            want = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(str(root), wholetext=True)
+            want = want.where("_metadata.file_path not like '%__pycache__%'").select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))), F.hex("value"))
+            want = sorted(map(tuple, want.collect()))
+            got = rows.select(F.element_at(F.split("path", "/"), -1), F.hex("value")).collect()
+            assert sorted(map(tuple, got)) == want and (want or pattern == "none.md" or "none" in str(root))
+    paths = {r.path for r in readers.text_files(spark, str(tmp_path / "in+put")).collect()}
+    assert {"a.md", "in/k.md", "in/n/n/l.txt", "in.md/q.md", "k=1/r.md"} <= paths
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        readers.text_files(spark, str(tmp_path / "absent"))

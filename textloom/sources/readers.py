@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +21,89 @@ from textloom.functions.links import content_type
 from textloom.operators.crawl import link_rows, picture_texts
 
 
+PLAIN = {"md", "txt", "json"}  # suffixes of files that Spark's reader doesn't unpack
+FILE_BYTES, FILES = 4_000_000, 1000
+
+
+def _local(spark: SparkSession, root: str) -> str | None:
+    """The folder on disk that ``root`` names, where it is one on the disk that driver and executors share."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = files.makeQualified(path).toUri()
+    return at.getPath() if at.getScheme() == "file" and files.exists(path) and files.getFileStatus(path).isDirectory() else None
+
+
+def _walk(base: str, named: str, deep: bool):
+    """path and folder (true or false) of what is in ``base`` and, if ``deep``, below the folders that come in."""
+
+    def seen(name: str) -> bool:  # as Spark's readers skip names
+        hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+        return not hidden or name.startswith(("_metadata", "_common_metadata"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bool]]:
+        todo = [p for b in batches for p in b.column("path").to_pylist()]
+        while todo:
+            at = todo.pop()
+            with os.scandir(f"{base}/{at}") as entries:
+                for e in entries:
+                    if not seen(e.name):
+                        continue
+                    if e.is_dir():
+                        if deep:
+                            todo.append(f"{at}{e.name}/")
+                        else:
+                            yield f"{at}{e.name}/", True
+                    elif e.is_file() and re.fullmatch(named, e.name):
+                        yield f"{at}{e.name}", False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = found(batches)
+        while some := list(islice(rows, 10_000)):
+            paths, folders = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders)], ["path", "folder"])
+
+    return run
+
+
+def _contents(base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.binary())], ["path", "value"])
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with open(f"{base}/{path}", "rb") as file:
+                    value = file.read()
+                if not value:
+                    continue  # as Spark's reader does
+                rows.append((path, value))
+                size += len(value)
+                if size >= FILE_BYTES or len(rows) >= FILES:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return run
+
+
 def text_files(spark: SparkSession, root: str, pattern: str = "*.{md,txt}", recursive: bool = True) -> DataFrame:
-    """path (relative to ``root``, sorting by its parts) and value of each file; dotfiles and caches are left out."""
+    """path (relative to ``root``, sorting by its parts) and value of each file; dotfiles, caches and empty files are left out.
+
+    A folder on a shared disk is listed and read by executors. Spark's reader, which takes all else, keeps a record of each file
+    in the driver's memory."""
+    shown = ~F.col("path").rlike(r"(^|/)(\.|__pycache__/)")
+    suffixes = re.fullmatch(r"\{?([\w,]+)\}?", pattern.rpartition(".")[2])
+    if recursive and suffixes and set(suffixes[1].split(",")) <= PLAIN and (base := _local(spark, root)):
+        named = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        top = spark.range(0, 1, 1, 1).select(F.lit("").alias("path")).mapInArrow(_walk(base, named, False), "path string, folder boolean")
+        below = top.where("folder").select("path").repartition(tasks).mapInArrow(_walk(base, named, True), "path string, folder boolean")
+        files = top.where("not folder").union(below).select("path").where(shown)
+        return files.repartition(tasks).mapInArrow(_contents(base), "path string, value binary").select("path", F.col("value").cast("string").alias("value"))
     rows = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(root, wholetext=True)
     base = re.escape(root.rstrip("/").removeprefix("file://"))
     path = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), rf"^(?:[a-z]+:)?/*?{base}/", "")
-    return rows.select(path.alias("path"), "value").where(~F.col("path").rlike(r"(^|/)(\.|__pycache__/)"))
+    return rows.select(path.alias("path"), "value").where(shown)
 
 
 def one_file(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, dict]:

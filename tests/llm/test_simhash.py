@@ -3,6 +3,7 @@ import re
 import numpy as np
 import xxhash
 
+from textloom.llm import components
 from textloom.llm.components import connected_components, joined_components
 from textloom.llm.simhash import GrayIndex, fingerprint, near_links, simhash_groups
 
@@ -92,3 +93,23 @@ def test_components_are_joined_by_further_links(spark):
     got = {r.node: r.root for r in joined_components(connected_components(first), more).collect()}
     assert got == {r.node: r.root for r in connected_components(first.union(more)).collect() if r.node in got} and len(set(got.values())) < len(got)
     assert {x for a, b in made if a != b for x in (a, b)} <= set(got)
+
+
+def test_links_shrink_from_round_to_round(spark, monkeypatch):
+    """Stars, a long path and single nodes: what is joined in all rounds together stays near the number of links."""
+    rng, n = np.random.default_rng(4), 3000
+    nodes = rng.permutation(10**6)[: 2 * n].tolist()
+    pairs = [(nodes[0], x) for x in nodes[1:n]] + [(nodes[i], nodes[i + 1]) for i in range(n, 2 * n - 1)] + [(-5, -5)]
+    kept, stored = [], components.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(components, "stored", counted)
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(nodes[:n], min(nodes[:n])), **dict.fromkeys(nodes[n:], min(nodes[n:])), -5: -5}
+    edges = [c for name, c in kept if name == "edges"]
+    joined = sum(edges) if len(edges) > 1 else edges[0] * (len(kept) - 2)  # where links are kept as they are, every round joins all
+    assert joined < 2.5 * 2 * len(pairs) and len(kept) < 60
